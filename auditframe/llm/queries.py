@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing
+from . import minhash, mixing, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,40 @@ select doc_id, size, source_size, target, cast(epochs * size + greatest(0, least
 """
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_mixing": op3_mixing}
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_units(table(spark, sf_dir, "documents"))
 
-ORACLE_SQL: dict[str, str] = {"op3_mixing": OP3_SQL}
+
+OP2_SQL = r"""
+with lines as (
+  select doc_id, unnest(string_split(text, chr(10))) as raw, generate_subscripts(string_split(text, chr(10)), 1) as unit
+  from documents where text is not null),
+placed as (
+  select *, coalesce(sum(length(raw) + 1) over (partition by doc_id order by unit rows between unbounded preceding and 1 preceding), 0) as start,
+         lower(trim(regexp_replace(raw, '[\x20\x09-\x0D]+', ' ', 'g'))) as norm
+  from lines),
+ranked as (
+  select *, norm <> '' and len(string_split(norm, ' ')) >= 5
+            and row_number() over (partition by norm order by doc_id, unit) > 1 as gone
+  from placed),
+done as (
+  select doc_id, count(*) as n_units, count(*) filter (where gone) as n_removed,
+         coalesce(string_agg(cast(start as bigint) || ':' || cast(start + length(raw) as bigint), ',' order by unit) filter (where gone), '') as removed_spans,
+         coalesce(string_agg(raw, chr(10) order by unit) filter (where not gone), '') as text
+  from ranked group by doc_id)
+select d.doc_id, coalesce(n_units, 0) as n_units, coalesce(n_removed, 0) as n_removed, coalesce(removed_spans, '') as removed_spans, x.text
+from documents d left join done x using (doc_id)
+"""
+
+
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_substring_dedup": op2_substring_dedup,
+    "op3_mixing": op3_mixing,
+    "op6_minhash": op6_minhash,
+}
+
+ORACLE_SQL: dict[str, str] = {"op2_substring_dedup": OP2_SQL, "op3_mixing": OP3_SQL}
