@@ -209,7 +209,8 @@ def near_duplicates(docs: DataFrame, *, percent: int = 80, k: int = 5) -> DataFr
     sizes = clusters.groupBy("component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"))
     parts = F.greatest(F.ceil(F.col("n") / SET_BLOCK), F.ceil(F.col("weight") / SET_SHINGLES)).cast("int")
     members = clusters.join(sizes.select("component", parts.alias("parts")), "component").select(F.col("component").alias("cluster"), "parts", "id")
-    texts = docs.join(members, docs.doc_id == members.id).select("cluster", "parts", "id", "text")
+    # a merge join at every size: the members grow with the corpus, and a plan that turns with them can't be foreseen
+    texts = docs.join(members.hint("merge"), docs.doc_id == members.id).select("cluster", "parts", "id", "text")
     sets = texts.mapInArrow(_sets(k), arrow.ddl(SETS)).where("length(shingles) > 0")
     sure = blocks(sets, "cluster", "shingles").mapInArrow(_verify(percent), arrow.ddl(EDGES))
     sure = scratch.save(sure.distinct(), "sure")
