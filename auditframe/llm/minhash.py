@@ -221,3 +221,12 @@ def near_duplicates(docs: DataFrame, *, percent: int = 80, k: int = 5) -> DataFr
     own = F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.coalesce("named", "doc_id"))
     out = out.select("doc_id", "n_shingles", own.alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def without_near_duplicates(docs: DataFrame, *, percent: int = 80, k: int = 5) -> DataFrame:
+    """Rows of ``docs``, all columns, without those that :func:`near_duplicates` doesn't keep.
+
+    Rows that repeat a kept doc_id stay; a row with a null doc_id stays.
+    """
+    gone = near_duplicates(docs, percent=percent, k=k).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone.hint("merge"), docs.doc_id == F.col("__gone"), "left_anti")

@@ -50,7 +50,7 @@ def targets(totals: DataFrame, weights: DataFrame, share: float = 1.0, max_epoch
     t = t.withColumn("before", F.coalesce(F.sum("limit").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
     t = t.withColumn("open", F.sum("weight").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
     t = t.withColumn("rate", (F.col("pool") - F.col("before")) / F.col("open"))
-    t = t.withColumn("rate", F.min(F.when(F.col("rate") * F.col("weight") <= F.col("limit"), F.col("rate"))).over(one))
+    t = t.withColumn("rate", F.max(F.when(F.col("rate") * F.col("weight") <= F.col("limit"), F.col("rate"))).over(one))
     return t.select("source", "source_size", F.least("limit", F.coalesce(F.col("rate") * F.col("weight"), F.col("limit"))).alias("target"))
 
 

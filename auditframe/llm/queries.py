@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, minhash, mixing, substring_dedup, token_files, toxicity
+from . import decontamination, language_id, minhash, mixing, substring_dedup, token_files, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,7 +33,7 @@ dealt as (
   select *, (pool - coalesce(sum(cap) over (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding), 0.0))
             / sum(weight) over (order by cap / weight, source nulls last rows between current row and unbounded following) as r
   from weighed),
-rated as (select *, min(case when r * weight <= cap then r end) over () as rate from dealt),
+rated as (select *, max(case when r * weight <= cap then r end) over () as rate from dealt),
 plan as (
   select source, source_size, least(cap, coalesce(rate * weight, cap)) as target from rated),
 plans as (
@@ -51,6 +51,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), toxicity.grades_from(table(spark, sf_dir, "labels")))
 
@@ -96,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_mixing": op3_mixing,
+    "op4_language_id": op4_language_id,
     "op5_toxicity": op5_toxicity,
     "op6_minhash": op6_minhash,
     "op7_token_files": op7_token_files,
