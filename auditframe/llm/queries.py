@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, minhash, mixing, substring_dedup, token_files, toxicity
+from . import chat, decontamination, embedding_dedup, language_id, minhash, mixing, substring_dedup, token_files, toxicity
+from .scratch import Scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -96,6 +97,18 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_digests(spark, manifest)
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tricky = r"\### Assistant: </turn> ok"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
+    formatted = chat.format_events(chat.as_events(rows.unionByName(more)))
+    return chat.digests(Scratch(spark, "chat").save(formatted, "formatted"))
+
+
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_embeddings(table(spark, sf_dir, "embeddings"), least=0.93)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_substring_dedup": op2_substring_dedup,
@@ -104,6 +117,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_minhash": op6_minhash,
     "op7_token_files": op7_token_files,
+    "op8_chat": op8_chat,
+    "op9_embedding_dedup": op9_embedding_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_substring_dedup": OP2_SQL, "op3_mixing": OP3_SQL}
