@@ -12,6 +12,7 @@ own and its row reaches the manifest only if the task succeeds, so a lost execut
 
 from __future__ import annotations
 
+import codecs
 import json
 import os
 import re
@@ -30,8 +31,8 @@ from . import arrow
 from .scratch import Scratch, shared_dir, tasks
 
 LENGTH, BATCH, END = 2048, 64, 2
-#: Pieces of text with their ids that a worker remembers; emptied at this size.
-KEPT = 400_000
+#: Pieces of text with their ids that a worker remembers, and as many of those it used before that.
+KEPT = 300_000
 SHARDS = pa.schema([("shard", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
 DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 DIGESTS = pa.schema([*DOCS, ("ids_crc32", pa.int64())])
@@ -40,8 +41,15 @@ SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_S
 ASCII_SPLIT = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[A-Za-z]+| ?[0-9]+| ?[^ \t-\rA-Za-z0-9]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
 
 
+def byte_characters() -> str:
+    """The character that byte-level vocabularies write for each byte: itself if it shows, else one of those from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return "".join(chr(b if b in shown else next(rest)) for b in range(256))
+
+
 class Encoder(dict):
-    """Ids of texts as bytes. A file that splits texts as ``SPLIT`` is asked for each piece once."""
+    """Ids of texts as bytes. The model of a file that splits texts as ``SPLIT`` is asked for each piece once."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -54,15 +62,23 @@ class Encoder(dict):
         with open(path, encoding="utf-8") as f:
             said = json.load(f)
         own = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
-        self.by_piece = not said.get("normalizer") and own.items() <= ({"use_regex": True} | (said.get("pre_tokenizer") or {})).items()
+        self.before: dict[str, bytes] = {}
+        self.model, self.place = self.tokenizer.model, byte_characters()
+        self.bytes_of = [np.array([i], self.kind).tobytes() for i in range(self.tokenizer.get_vocab_size())]
+        self.by_piece = said["model"].get("type") == "BPE" and not said.get("normalizer") and own.items() <= ({"use_regex": True} | (said.get("pre_tokenizer") or {})).items()
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
+        got = self.before.get(piece)
+        if got is None:
+            said, _ = codecs.charmap_decode(piece.encode("utf-8"), "strict", self.place)
+            got = b"".join([self.bytes_of[t.id] for t in self.model.tokenize(said)])
         if len(self) >= KEPT:
+            self.before = dict(self)
             self.clear()
-        got = self[piece] = self.whole(piece)
+        self[piece] = got
         return got
 
     def encode(self, text: str | None) -> bytes:
@@ -168,18 +184,17 @@ def _write(tokenizer: str, root: str, length: int, end: int):
         path = f"{root}/shard-{shard:06d}-{uuid.uuid4().hex[:12]}"
         enc = encoder(tokenizer)
         last = np.array([end], enc.kind).tobytes()
-        for b in batches:
-            for i in range(0, len(b), 1000):
-                rows = []
-                for doc, text in zip(*(b.column(c).slice(i, 1000).to_pylist() for c in (0, 1)), strict=True):
-                    if writer is None:
-                        writer = Writer(path, enc.kind, length)
-                    data = enc.encode(text) + last
-                    rows.append((doc, writer.total, len(data) // enc.kind.itemsize))
-                    writer.add(data)
-                if rows:
-                    writer.docs.write_batch(arrow.batch(DOCS, rows))
-                    n_docs += len(rows)
+        for b in arrow.slices(batches):
+            rows = []
+            for doc, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if writer is None:
+                    writer = Writer(path, enc.kind, length)
+                data = enc.encode(text) + last
+                rows.append((doc, writer.total, len(data) // enc.kind.itemsize))
+                writer.add(data)
+            if rows:
+                writer.docs.write_batch(arrow.batch(DOCS, rows))
+                n_docs += len(rows)
         if writer is not None:
             writer.close()
             yield arrow.batch(SHARDS, [(shard, path, n_docs, writer.total)])
