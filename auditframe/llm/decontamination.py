@@ -132,7 +132,7 @@ def verdict(doc_id: int | None, leaks: list[tuple[int, float]], coverage: float)
 
 def _tell(bench: Benchmark, coverage: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in arrow.slices(batches):
             yield arrow.batch(FOUND, [verdict(d, bench.leaks(t), coverage) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)])
 
     return run
@@ -140,7 +140,7 @@ def _tell(bench: Benchmark, coverage: float):
 
 def _clean(bench: Benchmark, coverage: float, text: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in arrow.slices(batches):
             yield b.filter(pa.array([not any(c >= coverage for _, c in bench.leaks(t)) for t in b.column(text).to_pylist()], pa.bool_()))
 
     return run
@@ -151,22 +151,21 @@ def _seeds(k: int, name: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = WordHashes()
-        for b in batches:
-            for start in range(0, len(b), 200):
-                rows = []
-                for key, text in zip(*(b.column(i).slice(start, 200).to_pylist() for i in (0, 1)), strict=True):
-                    found = tokens(text)
-                    if len(found) >= k:
-                        codes = np.fromiter((seen[w.decode("utf-8", "surrogatepass")] for w in found), np.uint64, len(found))
-                        rows.extend((key, s) for s in np.unique(windows(codes, k)).view(np.int64).tolist())
-                yield arrow.batch(schema, rows)
+        for b in arrow.slices(batches, 64):
+            rows = []
+            for key, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                found = tokens(text)
+                if len(found) >= k:
+                    codes = np.fromiter((seen[w.decode("utf-8", "surrogatepass")] for w in found), np.uint64, len(found))
+                    rows.extend((key, s) for s in np.unique(windows(codes, k)).view(np.int64).tolist())
+            yield arrow.batch(schema, rows)
 
     return run, arrow.ddl(schema)
 
 
 def _tile_pairs(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in arrow.slices(batches):
             rows = []
             for row, item_id, text, item in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 rows.append((row, item_id, max((c for _, c in Benchmark([(0, item)], k).leaks(text)), default=0.0)))

@@ -112,16 +112,15 @@ def learn(docs: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> K
 
 def _score(model: Kernel | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, len(b), 128):
-                docs, held, texts = (c.slice(at, 128).to_pylist() for c in b.columns)
-                live = [i for i, t in enumerate(texts) if t and model and LETTER.search(t)]
-                said, share = [UND] * len(docs), [0.0] * len(docs)
-                if live:
-                    p = model.scores([texts[i] for i in live])
-                    for i, best, row in zip(live, p.argmax(1).tolist(), p, strict=True):
-                        said[i], share[i] = model.languages[best], float(row[best])
-                yield arrow.batch(SCORES, list(zip(docs, held, said, share, strict=True)))
+        for b in arrow.slices(batches, 128):
+            docs, held, texts = (c.to_pylist() for c in b.columns)
+            live = [i for i, t in enumerate(texts) if t and model and LETTER.search(t)]
+            said, share = [UND] * len(docs), [0.0] * len(docs)
+            if live:
+                p = model.scores([texts[i] for i in live])
+                for i, best, row in zip(live, p.argmax(1).tolist(), p, strict=True):
+                    said[i], share[i] = model.languages[best], float(row[best])
+            yield arrow.batch(SCORES, list(zip(docs, held, said, share, strict=True)))
 
     return run
 

@@ -57,19 +57,18 @@ def _sign(bands: int, k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = WordHashes()
-        for b in batches:
-            for start in range(0, len(b), 2000):
-                rows = []
-                for doc, text in zip(*(b.column(i).slice(start, 2000).to_pylist() for i in (0, 1)), strict=True):
-                    s = shingle_set(text, seen, k)
-                    if not len(s):
-                        rows.append((doc, 0, 0, 0, None, None))
-                        continue
-                    d = xxhash.xxh3_128_digest(s.tobytes())
-                    entries = stir(min_max(s, permutations))[order]
-                    keys = stir((stir(entries + place) * place).reshape(bands, ROWS).sum(1, dtype=np.uint64))
-                    rows.append((doc, len(s), *np.frombuffer(d, np.int64).tolist(), keys.view(np.int64).tolist(), entries.astype(np.uint8).tobytes()))
-                yield arrow.batch(SIGNED, rows)
+        for b in arrow.slices(batches):
+            rows = []
+            for doc, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                s = shingle_set(text, seen, k)
+                if not len(s):
+                    rows.append((doc, 0, 0, 0, None, None))
+                    continue
+                d = xxhash.xxh3_128_digest(s.tobytes())
+                entries = stir(min_max(s, permutations))[order]
+                keys = stir((stir(entries + place) * place).reshape(bands, ROWS).sum(1, dtype=np.uint64))
+                rows.append((doc, len(s), *np.frombuffer(d, np.int64).tolist(), keys.view(np.int64).tolist(), entries.astype(np.uint8).tobytes()))
+            yield arrow.batch(SIGNED, rows)
 
     return run
 
@@ -113,10 +112,9 @@ def _alike(least: float):
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = WordHashes()
-        for b in batches:
-            for start in range(0, len(b), 500):
-                cluster, parts, ids, texts = (c.slice(start, 500).to_pylist() for c in b.columns)
-                yield arrow.batch(SETS, [(c, p, i, shingle_set(t, seen, k).tobytes()) for c, p, i, t in zip(cluster, parts, ids, texts, strict=True)])
+        for b in arrow.slices(batches):
+            cluster, parts, ids, texts = (c.to_pylist() for c in b.columns)
+            yield arrow.batch(SETS, [(c, p, i, shingle_set(t, seen, k).tobytes()) for c, p, i, t in zip(cluster, parts, ids, texts, strict=True)])
 
     return run
 

@@ -11,7 +11,7 @@ WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 #: Odd multipliers that set the places of a shingle apart.
 MIX = np.random.default_rng(20240501).integers(1, 2**63, size=64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Hashes of words seen; emptied when it reaches this many, to bound memory.
-KEPT = 1_000_000
+KEPT = 300_000
 
 
 class WordHashes(dict):

@@ -14,12 +14,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import arrow
 from .scratch import Scratch
 
 #: Separators of the unit kinds, as patterns.
 SEPARATORS = {"line": r"\n", "paragraph": r"\n[^\S\n]*(?:\n[^\S\n]*)+"}
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
-UNITS = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("unit", pa.int32()), ("first", pa.int32()), ("last", pa.int32()), ("hi", pa.int64()), ("lo", pa.int64())])
+UNITS = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("unit", pa.int32()), ("hi", pa.int64()), ("lo", pa.int64())])
 
 
 def normal(unit: str) -> str:
@@ -40,15 +41,15 @@ def _units(kind: str, min_words: int):
     signed = lambda x: x - (1 << 64) if x >> 63 else x
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in arrow.slices(batches):
             rows: list[tuple] = []
             for doc, version, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 for n, (a, b) in enumerate(split_units(text, kind)):
                     unit = normal(text[a:b])
                     if unit and unit.count(" ") + 1 >= min_words:
                         digest = xxhash.xxh3_128_intdigest(unit.encode("utf-8", "surrogatepass"))
-                        rows.append((doc, version, n, a, b, signed(digest >> 64), signed(digest & (1 << 64) - 1)))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), UNITS.types, strict=True)] if rows else [pa.array([], t) for t in UNITS.types], schema=UNITS)
+                        rows.append((doc, version, n, signed(digest >> 64), signed(digest & (1 << 64) - 1)))
+            yield arrow.batch(UNITS, rows)
 
     return run
 
@@ -57,7 +58,7 @@ def _cut(kind: str):
     schema = pa.schema([("doc_id", pa.int64()), ("n_units", pa.int64()), ("n_removed", pa.int64()), ("removed_spans", pa.string()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in arrow.slices(batches):
             rows = []
             for doc, text, gone in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 if text is None:
@@ -76,9 +77,9 @@ def _cut(kind: str):
                     last = max(set(range(len(spans))) - drop)
                     left = left[: len(left) - (spans[last + 1][0] - spans[last][1])]
                 rows.append((doc, len(spans), len(drop), ",".join(f"{spans[n][0]}:{spans[n][1]}" for n in sorted(drop)), left))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)] if rows else [pa.array([], t) for t in schema.types], schema=schema)
+            yield arrow.batch(schema, rows)
 
-    return run, "doc_id long, n_units long, n_removed long, removed_spans string, text string"
+    return run, arrow.ddl(schema)
 
 
 def dedup_units(docs: DataFrame, *, kind: str = "line", min_words: int = 5) -> DataFrame:
@@ -96,8 +97,8 @@ def dedup_units(docs: DataFrame, *, kind: str = "line", min_words: int = 5) -> D
     scratch = Scratch(docs.sparkSession, "substring-dedup")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     named = docs.withColumn("version", F.xxhash64("text"))
-    units = named.where("text is not null").select("doc_id", "version", "text").mapInArrow(_units(kind, min_words), "doc_id long, version long, unit int, first int, last int, hi long, lo long")
-    units = scratch.save(units.drop("first", "last"), "units")
+    units = named.where("text is not null").select("doc_id", "version", "text").mapInArrow(_units(kind, min_words), arrow.ddl(UNITS))
+    units = scratch.save(units, "units")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version", "unit")
     heads = units.groupBy("hi", "lo").agg(F.min(rank).alias("head"), F.count("*").alias("n")).where("n > 1").select("hi", "lo", "head")
     same = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("version") == F.col("head.version")) & (F.col("unit") == F.col("head.unit"))

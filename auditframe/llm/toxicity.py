@@ -24,7 +24,7 @@ LETTERS = re.compile(r"[^\W\d_]+")
 SAMPLE, SAMPLE_CHARS, FEATURES = 1500, 16_000_000, 4000
 SCORES = pa.schema([("doc_id", pa.int64()), ("severity", pa.float64()), ("grade", pa.int32()), ("toxic", pa.bool_())])
 #: Whether a word has a feature, for the words seen; emptied at this size.
-KEPT = 300_000
+KEPT = 100_000
 #: Log odds from which a feature counts.
 LEAST_ODDS = 1.5
 
@@ -166,7 +166,7 @@ def _scored(model: Ordinal, lookup: Hits, texts: list[str | None]) -> np.ndarray
 def _score(model: Ordinal):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = Hits(model.features)
-        for b in batches:
+        for b in arrow.slices(batches):
             z = _scored(model, lookup, b.column(1).to_pylist())
             yield arrow.batch(SCORES, list(zip(b.column(0).to_pylist(), model.severity(z).tolist(), model.grade(z).tolist(), (z >= model.cut).tolist(), strict=True)))
 
@@ -176,7 +176,7 @@ def _score(model: Ordinal):
 def _clean(model: Ordinal, text: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = Hits(model.features)
-        for b in batches:
+        for b in arrow.slices(batches):
             yield b.filter(pa.array(_scored(model, lookup, b.column(text).to_pylist()) < model.cut, pa.bool_()))
 
     return run
