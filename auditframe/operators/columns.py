@@ -372,7 +372,8 @@ def group_missingness(f: AuditFrame) -> DataFrame | None:
     groups |= {c: F.when(f.number(c) < cut, "below").when(f.number(c) >= cut, "from") for c, cut in cuts.items() if cut is not None}
     flags = [F.sum(F.col("gone")[i]).alias(f"t{i}") for i in range(len(targets))]
     gone = F.array(*((f.value(t) == "").cast("int") for t in targets)).alias("gone")
-    sets = rows.select(F.explode(F.array(*(F.struct(F.lit(c).alias("by"), g.alias("level")) for c, g in groups.items()))).alias("g"), gone)
+    rows = rows.select(gone, *(g.alias(f"g{i}") for i, g in enumerate(groups.values())))
+    sets = rows.select(F.explode(F.array(*(F.struct(F.lit(c).alias("by"), F.col(f"g{i}").alias("level")) for i, c in enumerate(groups)))).alias("g"), "gone")
     got = sets.where("g.level is not null").groupBy("g.by", "g.level").agg(F.count("*").alias("n"), *flags).collect()
     out = []
     for i, t in enumerate(targets):
