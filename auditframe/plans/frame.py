@@ -89,7 +89,8 @@ class AuditFrame:
             "letters": share(v.rlike("[A-Za-z]")),
             "longest": F.max(F.length("raw")),
         }
-        return {r.column: r for r in self.vc.groupBy("column").agg(*(c.alias(k) for k, c in aggs.items())).collect()}
+        got = {r.column: r for r in self.vc.groupBy("column").agg(*(c.alias(k) for k, c in aggs.items())).collect()}
+        return {c: got.get(c) or Row(column=c, **dict.fromkeys(aggs, 0)) for c in self.columns}
 
     @cached_property
     def rows(self) -> int:

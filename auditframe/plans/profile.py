@@ -81,12 +81,16 @@ def worst_weighted(scores: list[float]) -> int:
     return round(0.4 * min(scores) + 0.6 * sum(scores) / len(scores))
 
 
+#: Checks whose findings are scored.
+SCORED = ("duplicate_rows", "missing_value_codes", "whitespace", "invisible_characters", "encoding_corruption", "numeric_representation", "lost_leading_zeros", "excel_date_serials", "scientific_notation_ids", "inconsistent_categories", "ambiguous_dates", "ragged_rows")
+
+
 def quality_score(f: AuditFrame, counts: dict[str, int] | None = None) -> DataFrame:
     """``(aspect, score)``: five aspects from what the checks found, and overall, worst first among them."""
     from ..operators import CHECKS
 
     n = counts or {}
-    for key in ("duplicate_rows", "missing_value_codes", "whitespace", "invisible_characters", "encoding_corruption", "numeric_representation", "lost_leading_zeros", "excel_date_serials", "scientific_notation_ids", "inconsistent_categories", "ambiguous_dates", "ragged_rows"):
+    for key in SCORED:
         if key not in n:
             found = CHECKS[key].run(f)
             n[key] = found.count() if found is not None else 0
