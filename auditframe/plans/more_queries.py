@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cleaning, rules, statistics, tables
+from ..operators import cleaning, insights, rules, statistics, tables
 from . import profile
 from .frame import AuditFrame
 from .intake import AS_OF, COLUMNS, intake, visits
@@ -127,6 +127,12 @@ QUERIES: dict[str, Q] = {
     "dominant_values": lambda s, d: statistics.dominant_values(intake(s, d)),
     "likelihood_gaps": lambda s, d: statistics.likelihood_gaps(intake(s, d), ["grade", "level"], ["level", "grade", "sex"]),
     "standardized_ratio": lambda s, d: statistics.standardized_ratio(intake(s, d), "grade", "A", "sex", "Male", "sample_wt"),
+    "determines": lambda s, d: insights.determines(intake(s, d), [("code_a", "code_b"), ("code_a", "grade"), ("grade", "code_a"), ("sex", "grade")]),
+    "part_of_whole": lambda s, d: insights.part_of_whole(intake(s, d), [("cost_lab", "cost_total"), ("cost_drug", "cost_lab")]),
+    "within_strata_eta_squared": lambda s, d: insights.within_strata_eta_squared(intake(s, d), "cost_lab", "code_a", "grade"),
+    "blank_only_where": lambda s, d: insights.blank_only_where(intake(s, d), "spouse_name", NUMERIC),
+    "key_insights": lambda s, d: insights.key_insights(intake(s, d)),
+    "coded_units": lambda s, d: intake(s, d).wide.select("_rid", insights.fix_coded_units(F.col("zip"), "weight_lbs", (10023.0, 10352.0, 10000.0, "kg")).alias("pounds")).withColumnRenamed("_rid", "rid"),
     "quantile_bands": lambda s, d: statistics.quantile_bands(intake(s, d), "cost_drug"),
 }
 
@@ -254,10 +260,17 @@ SQL: dict[str, str] = {
     "dominant_values": """select 'batch' as "column", '' as "value", 0.0 as share where false union all """ + " union all ".join(f"""select '{c}' as "column", v as "value", round(n / t, 6) as share from (select trim({c}) as v, count(*) as n, sum(count(*)) over () as t, count(*) over () as k from intake where {c} <> '' group by 1) q where n >= 0.8 * t and k >= 2""" for c in ("sex", "grade", "level", "state", "region_name", "latitude", "body_temp", "has_spouse")),
     "standardized_ratio": """with t as (select grade = 'A' as mine, case when sex = 'Male' then 1 else 0 end as hit, sample_wt as s from intake), b as (select s, count(*) filter (mine) as n, coalesce(sum(hit) filter (mine), 0) as got, count(*) filter (not mine) as others, avg(hit) filter (not mine) as rate from t group by s)
         select cast(sum(got) filter (others >= 10) as bigint) as observed, round(sum(n * rate) filter (others >= 10), 6) as expected, round(sum(got) filter (others >= 10) / sum(n * rate) filter (others >= 10), 6) as ratio, round(sum(n) filter (others >= 10) / sum(n), 6) as coverage from b""",
+    "determines": " union all ".join(f"""select '{g}' as "by", '{t}' as target, round(coalesce((sum(m) - max(top)) / nullif(sum(n) - max(top), 0), 0), 6) as lambda
+        from (select max(n) as m, sum(n) as n from (select {g} as x, {t} as y, count(*) as n from intake group by 1, 2) j group by x) b, (select max(n) as top from (select count(*) as n from intake group by {t}) k) c""" for g, t in [("code_a", "code_b"), ("code_a", "grade"), ("grade", "code_a"), ("sex", "grade")]),
+    "part_of_whole": " union all ".join(f"""select '{a}' as a, '{b}' as b, round(avg(case when {num(a)} <= {num(b)} then 1.0 else 0.0 end), 6) as share from intake where {free(a)} and {free(b)}""" for a, b in [("cost_lab", "cost_total"), ("cost_drug", "cost_lab")]),
+    "within_strata_eta_squared": f"""with r as (select grade as s, code_a as g, {num("cost_lab")} as x from intake where {free("cost_lab")} and grade <> 'Z'), c as (select s, g, count(*) as n, sum(x) as sx, sum(x * x) as sxx from r group by 1, 2),
+        e as (select s, sum(n) as n, sum(sx * sx / n) - sum(sx) * sum(sx) / sum(n) as b, sum(sxx) - sum(sx) * sum(sx) / sum(n) as t from c group by 1 having sum(n) >= 10) select 'cost_lab' as measure, 'code_a' as "by", cast(sum(n) as bigint) as n, round(sum(b) / sum(t), 6) as eta2 from e""",
+    "blank_only_where": " union all ".join(f"""select '{c}' as "by", min(x) filter (gone) as low, max(x) filter (gone) as high from (select {num(c)} as x, spouse_name = '' as gone from intake where {free(c)}) t having count(x) filter (gone) >= 5 and count(x) filter (not gone) >= 5 and (max(x) filter (gone) < min(x) filter (not gone) or min(x) filter (gone) > max(x) filter (not gone))""" for c in NUMERIC),
+    "coded_units": f"select rid, case when {num('zip')} between 10023 and 10352 then cast(cast(round_even(({num('zip')} - 10000) * 2.20462, 0) as int) as varchar) else zip end as pounds from intake",
     "quantile_bands": f"""with v as (select {num("cost_drug")} as x, row_number() over (order by {num("cost_drug")}) - 1 as r, count(*) over () as n from intake), c as (select {", ".join(f"max(x) filter (r = floor(n * {b} / 5)) as c{b}" for b in range(1, 5))} from v)
         select cast(x >= c1 as int) + cast(x >= c2 as int) + cast(x >= c3 as int) + cast(x >= c4 as int) as band, count(*) as n from v, c group by 1""",
 }
-WHOLE = {"standardized_ratio", "profile_orders", "quantile_bands"}
+WHOLE = {"within_strata_eta_squared", "standardized_ratio", "profile_orders", "quantile_bands"}
 
 
 def complete(k: str, body: str) -> str:
