@@ -61,26 +61,32 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.dedup_units(table(spark, sf_dir, "documents"))
+    return substring_dedup.dedup_units(table(spark, sf_dir, "documents"), kind="sentence")
 
 
 OP2_SQL = r"""
-with lines as (
-  select doc_id, unnest(string_split(text, chr(10))) as raw, generate_subscripts(string_split(text, chr(10)), 1) as unit
+with cut as (
+  select doc_id, string_split(regexp_replace(regexp_replace(text, '([.!?][ \t]+)', '\1' || chr(31), 'g'), '(\n)', '\1' || chr(31), 'g'), chr(31)) as pieces
   from documents where text is not null),
+units as (select doc_id, unnest(pieces) as piece, generate_subscripts(pieces, 1) as unit, len(pieces) as n from cut),
 placed as (
-  select *, coalesce(sum(length(raw) + 1) over (partition by doc_id order by unit rows between unbounded preceding and 1 preceding), 0) as start,
-         lower(trim(regexp_replace(raw, '[\x20\x09-\x0D]+', ' ', 'g'))) as norm
-  from lines),
+  select *, regexp_replace(piece, '(([.!?])[ \t]+|\n)$', '\2') as raw,
+         cast(coalesce(sum(length(piece)) over (partition by doc_id order by unit rows between unbounded preceding and 1 preceding), 0) as bigint) as start,
+         lower(trim(regexp_replace(regexp_replace(piece, '(([.!?])[ \t]+|\n)$', '\2'), '[\x20\x09-\x0D]+', ' ', 'g'))) as norm
+  from units),
 ranked as (
-  select *, norm <> '' and len(string_split(norm, ' ')) >= 5
-            and row_number() over (partition by norm order by doc_id, unit) > 1 as gone
-  from placed),
+  select *, case when norm <> '' and len(string_split(norm, ' ')) >= 5 then cast(row_number() over (partition by norm order by doc_id, unit) > 1 as int) end as again from placed),
+near as (
+  select *, last_value(again ignore nulls) over (partition by doc_id order by unit rows between unbounded preceding and current row) as before,
+         first_value(again ignore nulls) over (partition by doc_id order by unit rows between current row and unbounded following) as after
+  from ranked),
+told as (select *, coalesce(case when again is null then before = 1 and after = 1 else again = 1 end, false) as gone from near),
+ends as (select *, max(unit) filter (not gone) over (partition by doc_id) as last_kept from told),
 done as (
   select doc_id, count(*) as n_units, count(*) filter (where gone) as n_removed,
-         coalesce(string_agg(cast(start as bigint) || ':' || cast(start + length(raw) as bigint), ',' order by unit) filter (where gone), '') as removed_spans,
-         coalesce(string_agg(raw, chr(10) order by unit) filter (where not gone), '') as text
-  from ranked group by doc_id)
+         coalesce(string_agg(start || ':' || (start + length(raw)), ',' order by unit) filter (where gone), '') as removed_spans,
+         coalesce(string_agg(case when unit = last_kept then raw else piece end, '' order by unit) filter (where not gone), '') as text
+  from ends group by doc_id)
 select d.doc_id, coalesce(n_units, 0) as n_units, coalesce(n_removed, 0) as n_removed, coalesce(removed_spans, '') as removed_spans, x.text
 from documents d left join done x using (doc_id)
 """

@@ -1,4 +1,4 @@
-"""Substring dedup by line or paragraph hashing.
+"""Substring dedup by hashing lines, paragraphs, or the sentences of lines.
 
 Units are hashed where the text is read; only ``(document, unit, digest)`` moves. Earliest occurrences come
 from a pre-aggregated minimum per digest, so a line that half the corpus shares costs one row per task.
@@ -18,7 +18,7 @@ from . import arrow
 from .scratch import Scratch
 
 #: Separators of the unit kinds, as patterns.
-SEPARATORS = {"line": r"\n", "paragraph": r"\n[^\S\n]*(?:\n[^\S\n]*)+"}
+SEPARATORS = {"line": r"\n", "sentence": r"(?<=[.!?])[ \t]+|\n", "paragraph": r"\n[^\S\n]*(?:\n[^\S\n]*)+"}
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
 UNITS = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("unit", pa.int32()), ("hi", pa.int64()), ("lo", pa.int64())])
 
@@ -54,7 +54,27 @@ def _units(kind: str, min_words: int):
     return run
 
 
-def _cut(kind: str):
+def is_long(unit: str, min_words: int) -> bool:
+    u = normal(unit)
+    return bool(u) and u.count(" ") + 1 >= min_words
+
+
+def with_short_ones(text: str, spans: list[tuple[int, int]], gone: list[int], min_words: int) -> set[int]:
+    """Removed units, and the short ones between two of them with nothing kept between."""
+    drop, short, after_gone = set(gone), [], False
+    for n, (a, b) in enumerate(spans):
+        if n in drop:
+            if after_gone:
+                drop.update(short)
+            short, after_gone = [], True
+        elif after_gone and not is_long(text[a:b], min_words):
+            short.append(n)
+        else:
+            short, after_gone = [], False
+    return drop
+
+
+def _cut(kind: str, min_words: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n_units", pa.int64()), ("n_removed", pa.int64()), ("removed_spans", pa.string()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,7 +88,7 @@ def _cut(kind: str):
                 if not gone:
                     rows.append((doc, len(spans), 0, "", text))
                     continue
-                out, drop = [], set(gone)
+                out, drop = [], with_short_ones(text, spans, gone, min_words)
                 for n, (a, b) in enumerate(spans):
                     if n not in drop:  # a unit keeps the separator behind it
                         out.append(text[a : spans[n + 1][0] if n + 1 < len(spans) else b])
@@ -85,9 +105,11 @@ def _cut(kind: str):
 def dedup_units(docs: DataFrame, *, kind: str = "line", min_words: int = 5) -> DataFrame:
     """Each document of ``docs(doc_id, text)`` without the units that occur earlier in the corpus.
 
-    A unit is a line (or paragraph) of at least ``min_words`` words; shorter ones always stay. Two are the
-    same if they agree in lower case with white space runs as one blank. Of equal units the earliest stays, by
-    doc_id (null last), then by the hash of the text, then by place in the text.
+    A unit is a line, a paragraph, or a sentence of a line: what ends in ``.``, ``!`` or ``?`` before a blank.
+    Sentences find passages that repeat inside lines. Units of fewer than ``min_words`` words aren't compared;
+    they go if they stand between two that go, with nothing that stays between, and stay otherwise. Two units
+    are the same if they agree in lower case with white space runs as one blank. Of equal units the earliest
+    stays, by doc_id (null last), then by the hash of the text, then by place in the text.
 
     Returns ``doc_id, n_units, n_removed, removed_spans, text``: removed_spans has the code-point offsets in the
     original text as ``start:end``, comma-joined; text is what is left, or null for a null text. Defined
@@ -106,5 +128,5 @@ def dedup_units(docs: DataFrame, *, kind: str = "line", min_words: int = 5) -> D
     gone = gone.groupBy("doc_id", "version").agg(F.sort_array(F.collect_set("unit")).alias("gone")).alias("g")
     n = named.alias("n")
     out = n.join(gone, F.col("n.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("n.version") == F.col("g.version")), "left")
-    run, schema = _cut(kind)
+    run, schema = _cut(kind, min_words)
     return out.select("n.doc_id", "text", "gone").mapInArrow(run, schema)
