@@ -392,3 +392,13 @@ def test_pipeline(spark, sf_dir):
     assert all(after <= before for _, before, after in kept) and len(kept[1][2]) < len(kept[1][1]) and len(kept[2][2]) < len(kept[2][1])
     final = corpus_pipeline.STAGES[-1][1](spark, d, sf_dir)
     assert final.count() == d.count()
+
+
+def test_passages_inside_lines(spark):
+    rng = random.Random(12)
+    passage = " ".join(f"{prose(rng, rng.choice([2, 9, 12])).capitalize()}." for _ in range(8))
+    texts = [f"{prose(rng, 6)} here it comes: {passage} {prose(rng, 7)}", f"{prose(rng, 9)}.  {passage.upper()}\n{prose(rng, 8)}.", f"{prose(rng, 11)}. {prose(rng, 6)}!"]
+    got = {r.doc_id: r for r in substring_dedup.dedup_units(docs(spark, texts), kind="sentence").collect()}
+    assert got[0].text == texts[0] and got[2].text == texts[2]
+    gone = "".join(texts[1][int(a):int(b)] for a, b in (s.split(":") for s in got[1].removed_spans.split(",")))
+    assert len(gone) > 0.7 * len(passage) and gone.isupper() and got[1].text.startswith(texts[1].split(".")[0])
