@@ -18,10 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrow
+from .sampling import sample_ids
 
 ORDERS, BINS = (1, 2, 3, 4), 1 << 14
-#: Texts a language that a model is fitted on, of those the landmarks, and characters of all texts.
-SAMPLE, LANDMARKS, SAMPLE_CHARS = 400, 24, 24_000_000
+#: Texts a language that a model is fitted on, of those the landmarks, and characters a language.
+SAMPLE, LANDMARKS, SAMPLE_CHARS = 400, 24, 6_000_000
 RIDGE = 1e-2
 LETTER = re.compile(r"[^\W\d_]")
 NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -93,19 +94,11 @@ def held_out(doc_id):
 def learn(docs: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Kernel | None:
     """Fits on at most ``sample`` texts of each language, by a hash of doc_id, of those that aren't held out."""
     open_ = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    sized = open_.select("lang", F.xxhash64("doc_id", F.lit(5)).alias("h"), "doc_id", F.length("text").alias("n"))
-    names = [r[0] for r in sized.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(200).collect()]
-    ids: dict[tuple, str] = {}
-    for lang in names:
-        left = chars // len(names)
-        for r in sized.where(F.col("lang") == lang).orderBy("h", "doc_id").limit(sample).collect():
-            left -= r.n
-            if left >= 0:
-                ids[(lang, r.doc_id)] = lang
+    ids = sample_ids(open_.select("lang", "doc_id", F.length("text").alias("n")), "lang", sample, chars, 5)
     if not ids:
         return None
-    rows = open_.where(F.col("doc_id").isin(list({k[1] for k in ids}))).select("lang", "doc_id", "text").collect()
-    rows = sorted((r for r in rows if (r.lang, r.doc_id) in ids and LETTER.search(r.text)), key=lambda r: (r.lang, r.doc_id, r.text))
+    rows = open_.where(F.col("doc_id").isin(list({k[1] for k in ids}))).groupBy("lang", "doc_id").agg(F.min("text").alias("text")).collect()
+    rows = sorted((r for r in rows if (r.lang, r.doc_id) in ids and LETTER.search(r.text)), key=lambda r: (r.lang, r.doc_id))
     order = np.random.default_rng(9).permutation(len(rows))
     return fit([rows[i].text for i in order], [rows[i].lang for i in order]) if rows else None
 

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrow
+from .sampling import sample_ids
 
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Labelled documents of each grade, and characters of all, that a model is fitted on; features it keeps.
@@ -145,17 +146,9 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: in
     """At most ``sample`` labelled texts of each grade and ``chars`` characters of each, by a hash of doc_id."""
     picked = labels.where("grade is not null and doc_id is not null").select("doc_id", "grade").groupBy("doc_id").agg(F.max("grade").alias("grade"))
     size = docs.where("text is not null").select("doc_id", F.length("text").alias("n")).groupBy("doc_id").agg(F.max("n").alias("n"))
-    found = picked.join(size, "doc_id").select("grade", F.struct(F.xxhash64("doc_id", F.lit(11)).alias("h"), "doc_id", "n").alias("s"))
-    grades = [r[0] for r in found.select("grade").distinct().orderBy("grade").limit(64).collect()]
-    ids: dict[int, int] = {}
-    for g in grades:  # a top-k per grade: each task keeps at most ``sample``
-        left = chars
-        for r in found.where(F.col("grade") == g).select("s.h", "s.doc_id", "s.n").orderBy("h", "doc_id").limit(sample).collect():
-            left -= r.n
-            if left >= 0:
-                ids[r.doc_id] = g
-    rows = docs.where(F.col("doc_id").isin(list(ids)) & F.col("text").isNotNull()).select("doc_id", "text").collect() if ids else []
-    rows.sort(key=lambda r: (r.doc_id, r.text))
+    ids = {doc: grade for grade, doc in sample_ids(picked.join(size, "doc_id"), "grade", sample, chars, 11)}
+    rows = docs.where(F.col("doc_id").isin(list(ids)) & F.col("text").isNotNull()).groupBy("doc_id").agg(F.min("text").alias("text")).collect() if ids else []
+    rows.sort(key=lambda r: r.doc_id)
     return [r.text for r in rows], [ids[r.doc_id] for r in rows]
 
 
