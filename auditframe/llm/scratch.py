@@ -70,7 +70,10 @@ def components(scratch: Scratch, edges: DataFrame, name: str = "cc", rounds: int
             both = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = both.groupBy("a").agg(F.min("b").alias("m"))
         least = least.select("a", F.least("a", "m").alias("m"))
-        moved = both.join(least, "a")
+        # the minima stand by ``a``; a key of its own makes the join deal both sides anew, so that Spark can split a hub
+        key = F.xxhash64("a")
+        hub = least.select(key.alias("k"), F.col("a").alias("c"), "m")
+        moved = both.withColumn("k", key).join(hub, "k").where("a = c").drop("k", "c")
         if large:
             moved = moved.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:
