@@ -123,6 +123,7 @@ def dedup_units(docs: DataFrame, *, kind: str = "line", min_words: int = 5) -> D
     units = scratch.save(units, "units")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version", "unit")
     heads = units.groupBy("hi", "lo").agg(F.min(rank).alias("head"), F.count("*").alias("n")).where("n > 1").select("hi", "lo", "head")
+    heads = scratch.save(heads, "heads")  # the join below then deals both sides anew, and Spark can split a digest that many units share
     same = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("version") == F.col("head.version")) & (F.col("unit") == F.col("head.unit"))
     gone = units.join(heads, ["hi", "lo"]).where(~same)
     gone = gone.groupBy("doc_id", "version").agg(F.sort_array(F.collect_set("unit")).alias("gone")).alias("g")
