@@ -64,6 +64,11 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_units(table(spark, sf_dir, "documents"), kind="sentence")
 
 
+def op2_substring_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With short sentences, short lines and scripts without blanks, which ``OP2_SQL`` leaves out."""
+    return substring_dedup.dedup_units(table(spark, sf_dir, "documents"), kind="passage")
+
+
 OP2_SQL = r"""
 with cut as (
   select doc_id, string_split(regexp_replace(regexp_replace(text, '([.!?][ \t]+)', '\1' || chr(31), 'g'), '(\n)', '\1' || chr(31), 'g'), chr(31)) as pieces
@@ -130,6 +135,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_pii": op10_pii,
+    "op2_substring_dedup_whole": op2_substring_dedup_whole,
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_substring_dedup": OP2_SQL, "op3_mixing": OP3_SQL}

@@ -1,6 +1,6 @@
-"""Substring dedup by hashing lines, paragraphs, or the sentences of lines.
+"""Substring dedup by hashing lines, paragraphs, the sentences of lines, or runs of sentences.
 
-Units are hashed where the text is read; only ``(document, unit, digest)`` moves. Earliest occurrences come
+Units are hashed where the text is read; only ``(document, unit, last unit, digest)`` moves. Earliest occurrences come
 from a pre-aggregated minimum per digest, so a line that half the corpus shares costs one row per task.
 """
 
@@ -18,9 +18,13 @@ from . import arrow
 from .scratch import Scratch
 
 #: Separators of the unit kinds, as patterns.
-SEPARATORS = {"line": r"\n", "sentence": r"(?<=[.!?])[ \t]+|\n", "paragraph": r"\n[^\S\n]*(?:\n[^\S\n]*)+"}
+SEPARATORS = {"line": r"\n", "sentence": r"(?<=[.!?])[ \t]+|\n", "paragraph": r"\n[^\S\n]*(?:\n[^\S\n]*)+", "passage": r"(?<=[.!?])[ \t]+|\n"}
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
-UNITS = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("unit", pa.int32()), ("hi", pa.int64()), ("lo", pa.int64())])
+#: Words, a letter of a script without blanks (Thai to Khmer, kana, Han) counting as one.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+WORDS = re.compile(f"[{UNSPACED}]|[^ {UNSPACED}]+")
+BREAK = re.compile(r"\n")
+UNITS = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("unit", pa.int32()), ("last", pa.int32()), ("hi", pa.int64()), ("lo", pa.int64())])
 
 
 def normal(unit: str) -> str:
@@ -37,6 +41,43 @@ def split_units(text: str, kind: str) -> list[tuple[int, int]]:
     return [*spans, (at, len(text))]
 
 
+def words(unit: str) -> int:
+    return unit.count(" ") + 1 if unit.isascii() else len(WORDS.findall(unit))
+
+
+def runs(text: str, spans: list[tuple[int, int]], min_words: int) -> dict[tuple[int, int], str]:
+    """What is compared of a text in passages: ``(first unit, last unit)`` and the words, as :func:`normal` has them.
+
+    From each sentence on, and up to each sentence, the shortest run of ``min_words`` words, so that the sentences of
+    any passage of so many words are covered by runs inside it; and whole lines of fewer words.
+    """
+    said = [(n, normal(text[a:b])) for n, (a, b) in enumerate(spans)]
+    said = [(n, u, words(u)) for n, u in said if u]
+    out: dict[tuple[int, int], str] = {}
+    for i, (n, u, size) in enumerate(said):
+        if size >= min_words:
+            out[n, n] = u
+            continue
+        for step in (1, -1):
+            j, total = i, size
+            while total < min_words and 0 <= j + step < len(said):
+                j += step
+                total += said[j][2]
+            if total >= min_words:
+                a, b = min(i, j), max(i, j)
+                out[said[a][0], said[b][0]] = " ".join(x[1] for x in said[a : b + 1])
+    start = 0
+    while start < len(said):  # lines
+        end, total = start, said[start][2]
+        while end + 1 < len(said) and not BREAK.search(text, spans[said[end][0]][1], spans[said[end + 1][0]][0]):
+            end += 1
+            total += said[end][2]
+        if total < min_words:
+            out[said[start][0], said[end][0]] = " ".join(x[1] for x in said[start : end + 1])
+        start = end + 1
+    return out
+
+
 def _units(kind: str, min_words: int):
     signed = lambda x: x - (1 << 64) if x >> 63 else x
 
@@ -44,11 +85,14 @@ def _units(kind: str, min_words: int):
         for batch in arrow.slices(batches):
             rows: list[tuple] = []
             for doc, version, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                for n, (a, b) in enumerate(split_units(text, kind)):
-                    unit = normal(text[a:b])
-                    if unit and unit.count(" ") + 1 >= min_words:
-                        digest = xxhash.xxh3_128_intdigest(unit.encode("utf-8", "surrogatepass"))
-                        rows.append((doc, version, n, signed(digest >> 64), signed(digest & (1 << 64) - 1)))
+                spans = split_units(text, kind)
+                if kind == "passage":
+                    compared = runs(text, spans, min_words)
+                else:
+                    compared = {(n, n): u for n, (a, b) in enumerate(spans) if is_long(u := normal(text[a:b]), min_words)}
+                for (n, last), unit in compared.items():
+                    digest = xxhash.xxh3_128_intdigest(unit.encode("utf-8", "surrogatepass"))
+                    rows.append((doc, version, n, last, signed(digest >> 64), signed(digest & (1 << 64) - 1)))
             yield arrow.batch(UNITS, rows)
 
     return run
@@ -106,7 +150,9 @@ def dedup_units(docs: DataFrame, *, kind: str = "line", min_words: int = 5) -> D
     """Each document of ``docs(doc_id, text)`` without the units that occur earlier in the corpus.
 
     A unit is a line, a paragraph, or a sentence of a line: what ends in ``.``, ``!`` or ``?`` before a blank.
-    Sentences find passages that repeat inside lines. Units of fewer than ``min_words`` words aren't compared;
+    Sentences find passages that repeat inside lines. ``passage`` compares runs of sentences, so that short
+    ones count too: what repeats in ``min_words`` words or more goes, wherever its sentences end, and so does a
+    shorter line that repeats as a whole; a letter of a script without blanks is a word. In the other kinds units of fewer than ``min_words`` words aren't compared;
     they go if they stand between two that go, with nothing that stays between, and stay otherwise. Two units
     are the same if they agree in lower case with white space runs as one blank. Of equal units the earliest
     stays, by doc_id (null last), then by the hash of the text, then by place in the text.
@@ -126,8 +172,10 @@ def dedup_units(docs: DataFrame, *, kind: str = "line", min_words: int = 5) -> D
     heads = scratch.save(heads, "heads")  # the join below then deals both sides anew, and Spark can split a digest that many units share
     same = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("version") == F.col("head.version")) & (F.col("unit") == F.col("head.unit"))
     gone = units.join(heads, ["hi", "lo"]).where(~same)
+    if kind == "passage":
+        gone = gone.withColumn("unit", F.explode(F.sequence("unit", "last")))
     gone = gone.groupBy("doc_id", "version").agg(F.sort_array(F.collect_set("unit")).alias("gone")).alias("g")
     n = named.alias("n")
     out = n.join(gone, F.col("n.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("n.version") == F.col("g.version")), "left")
-    run, schema = _cut(kind, min_words)
+    run, schema = _cut(kind, 1 if kind == "passage" else min_words)
     return out.select("n.doc_id", "text", "gone").mapInArrow(run, schema)

@@ -402,3 +402,39 @@ def test_passages_inside_lines(spark):
     assert got[0].text == texts[0] and got[2].text == texts[2]
     gone = "".join(texts[1][int(a):int(b)] for a, b in (s.split(":") for s in got[1].removed_spans.split(",")))
     assert len(gone) > 0.7 * len(passage) and gone.isupper() and got[1].text.startswith(texts[1].split(".")[0])
+
+
+def brute_passages(texts, min_words=5):
+    """Units, and those of them in a run of ``min_words`` words or a whole line that occurs earlier, by trying every run."""
+    units, seen, gone = {}, {}, {}
+    for d, t in texts.items():
+        spans = substring_dedup.split_units(t, "passage")
+        units[d] = [(n, a, b, u) for n, (a, b) in enumerate(spans) if (u := substring_dedup.normal(t[a:b]))]
+        for i in range(len(units[d])):
+            for j in range(i, len(units[d])):
+                first, last = units[d][i], units[d][j]
+                said = " ".join(x[3] for x in units[d][i : j + 1])
+                inside = t[first[1] : last[2]]
+                whole = "\n" not in inside and not t[: first[1]].rpartition("\n")[2].strip() and not t[last[2] :].partition("\n")[0].strip()
+                if substring_dedup.words(said) >= min_words or whole:
+                    seen.setdefault((whole and substring_dedup.words(said) < min_words, said), []).append((d, i, j))
+    for at in seen.values():
+        for d, i, j in at[1:]:
+            gone.setdefault(d, set()).update(x[0] for x in units[d][i : j + 1])
+    return {d: (sorted(gone.get(d, ()))) for d in texts}
+
+
+def test_short_units_are_compared(spark):
+    """Short lines, passages of short sentences and scripts without blanks, against every run."""
+    rng = random.Random(21)
+    few = [f"{prose(rng, n)}." for n in (1, 1, 2, 3, 4, 5, 6)]
+    short = " ".join(f"{prose(rng, rng.randint(1, 4))}." for _ in range(20))
+    texts = [f"{prose(rng, 7)}. {short} {prose(rng, 8)}.", f"{prose(rng, 9)}. {short}\n{prose(rng, 6)}.", f"{prose(rng, 7)}.\nall rights reserved.\nx", f"{prose(rng, 8)}.\nAll  rights reserved.", "日本語の文章です\n次", "違う\n日本語の文章です"]
+    texts = dict(enumerate(texts + ["".join(rng.choice(few) + rng.choice([" ", " ", "\n"]) for _ in range(rng.randint(1, 7))) for _ in range(60)]))
+    got = {r.doc_id: r for r in substring_dedup.dedup_units(docs(spark, texts), kind="passage").collect()}
+    assert short not in got[1].text and got[1].n_removed == 20 and "rights" not in got[3].text and got[5].text == "違う"
+    want = brute_passages(texts)
+    for d, t in texts.items():
+        spans = substring_dedup.split_units(t, "passage")
+        said = {tuple(map(int, s.split(":"))) for s in got[d].removed_spans.split(",") if s}
+        assert {s for s in said if substring_dedup.normal(t[slice(*s)])} == {spans[n] for n in want[d]}, (d, t)
