@@ -18,12 +18,18 @@ from . import arrow
 from .scratch import Scratch
 
 #: Separators of the unit kinds, as patterns.
-SEPARATORS = {"line": r"\n", "sentence": r"(?<=[.!?])[ \t]+|\n", "paragraph": r"\n[^\S\n]*(?:\n[^\S\n]*)+", "passage": r"(?<=[.!?])[ \t]+|\n"}
+SEPARATORS = {"line": r"\n", "sentence": r"(?<=[.!?])[ \t]+|\n", "paragraph": r"\n[^\S\n]*(?:\n[^\S\n]*)+"}
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
 #: Words, a letter of a script without blanks (Thai to Khmer, kana, Han) counting as one.
 UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 WORDS = re.compile(f"[{UNSPACED}]|[^ {UNSPACED}]+")
-BREAK = re.compile(r"\n")
+#: Sentence ends before a blank; sentence ends of other scripts, with or without one; what closes around them; line ends.
+STOPS, WIDE, CLOSE, LINES = r".!?\u2026\u203c\u2047-\u2049", r"\u3002\uff01\uff0e\uff1f\uff61\u061f\u06d4\u0964\u0965\u0589\u1362\u1367\u104a\u104b\u17d4", r"\"')\]}\u2019\u201d\u00bb\u203a\u300d\u300f\u3011\uff09", r"\n\r\x85\u2028\u2029"
+BREAK = re.compile(f"[{LINES}]")
+#: Ends of the units of passages; the group that matched, or else the place after the match, is the separator.
+ENDS = re.compile(
+    rf"[{STOPS}{WIDE}{LINES}](?:(?<=[{LINES}])(?:(?<=\r)\n)?|(?<=[{STOPS}])[{STOPS}{CLOSE}]*+([ \t\u3000]+)|(?<=[{WIDE}])[{STOPS}{WIDE}{CLOSE}]*+(?:([ \t\u3000]+)|(?=\S)))"
+)
 UNITS = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("unit", pa.int32()), ("last", pa.int32()), ("hi", pa.int64()), ("lo", pa.int64())])
 
 
@@ -35,6 +41,12 @@ def normal(unit: str) -> str:
 def split_units(text: str, kind: str) -> list[tuple[int, int]]:
     """Code-point spans of the units of a text, separators left out."""
     at, spans = 0, []
+    if kind == "passage":
+        for m in ENDS.finditer(text):
+            start, end = m.span(m.lastindex) if m.lastindex else m.span() if BREAK.match(m[0]) else (m.end(), m.end())
+            spans.append((at, start))
+            at = end
+        return [*spans, (at, len(text))]
     for m in re.finditer(SEPARATORS[kind], text):
         spans.append((at, m.start()))
         at = m.end()
@@ -152,7 +164,8 @@ def dedup_units(docs: DataFrame, *, kind: str = "line", min_words: int = 5) -> D
     A unit is a line, a paragraph, or a sentence of a line: what ends in ``.``, ``!`` or ``?`` before a blank.
     Sentences find passages that repeat inside lines. ``passage`` compares runs of sentences, so that short
     ones count too: what repeats in ``min_words`` words or more goes, wherever its sentences end, and so does a
-    shorter line that repeats as a whole; a letter of a script without blanks is a word. In the other kinds units of fewer than ``min_words`` words aren't compared;
+    shorter line that repeats as a whole; a letter of a script without blanks is a word. Its sentences also end at
+    marks of other scripts, and after quotes and brackets that close behind a mark. In the other kinds units of fewer than ``min_words`` words aren't compared;
     they go if they stand between two that go, with nothing that stays between, and stay otherwise. Two units
     are the same if they agree in lower case with white space runs as one blank. Of equal units the earliest
     stays, by doc_id (null last), then by the hash of the text, then by place in the text.

@@ -438,3 +438,28 @@ def test_short_units_are_compared(spark):
         spans = substring_dedup.split_units(t, "passage")
         said = {tuple(map(int, s.split(":"))) for s in got[d].removed_spans.split(",") if s}
         assert {s for s in said if substring_dedup.normal(t[slice(*s)])} == {spans[n] for n in want[d]}, (d, t)
+
+
+@pytest.mark.parametrize("end", ['." ', ".) ", "!” ", "… ", "؟ ", "। ", "。", "。」", "！"])
+def test_sentence_marks(spark, end):
+    """Passages whose sentences end otherwise, inside lines between other words; all but the edges that run into them goes."""
+    rng = random.Random(13)
+    passage = "".join(prose(rng, 9) + end for _ in range(8))
+    texts = [f"{prose(rng, 6)}{end}{passage}{prose(rng, 7)}", f"{prose(rng, 9)}{end}{passage}{prose(rng, 8)}"]
+    got = {r.doc_id: r for r in substring_dedup.dedup_units(docs(spark, texts), kind="passage").collect()}
+    assert got[0].text == texts[0] and got[1].text == texts[1].replace(passage, "") and got[1].n_removed == 8
+
+
+def test_sentences_are_whole():
+    text = 'He said "go." Then (so he did!) v1.2 at 3.5。「はい。」「次」\r\nlast？　x y'
+    spans = substring_dedup.split_units(text, "passage")
+    assert [text[a:b] for a, b in spans] == ['He said "go."', "Then (so he did!)", "v1.2 at 3.5。", "「はい。」", "「次」", "last？", "x", "y"]
+
+
+def test_passages_without_stops_stay(spark):
+    """What unit hashing can't reach, as the README says: a passage without sentence marks between other words."""
+    rng = random.Random(14)
+    passage = ", ".join(prose(rng, 10) for _ in range(6))
+    texts = [f"{prose(rng, 6)} {passage} {prose(rng, 7)}.", f"{prose(rng, 9)} {passage} {prose(rng, 8)}.", f"{prose(rng, 9)}.\n{passage}\n{prose(rng, 8)}.", f"{prose(rng, 5)}.\n{passage}\n{prose(rng, 8)}."]
+    got = {r.doc_id: r.n_removed for r in substring_dedup.dedup_units(docs(spark, texts), kind="passage").collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 1}
