@@ -24,21 +24,53 @@ LETTERS = re.compile(r"[^\W\d_]+")
 #: Labelled documents of each grade, and characters of all, that a model is fitted on; features it keeps.
 SAMPLE, SAMPLE_CHARS, FEATURES = 1500, 16_000_000, 4000
 SCORES = pa.schema([("doc_id", pa.int64()), ("severity", pa.float64()), ("grade", pa.int32()), ("toxic", pa.bool_())])
-#: Whether a word has a feature, for the words seen; emptied at this size.
-KEPT = 100_000
+#: Whether a word has a feature, for the words seen; emptied at this size. Runs of more letters than PIECE are not kept.
+KEPT, PIECE = 100_000, 200
+#: Texts that an n-gram has to be in to be a feature; bins that n-grams are counted in first.
+LEAST_TEXTS, BINS = 3, 1 << 22
 #: Log odds from which a feature counts.
 LEAST_ODDS = 1.5
 
 
-def grams(word: str) -> set[str]:
-    w = f"^{word[:200]}$" if len(word) > 200 else f"^{word}$"
-    return {w[i : i + n] for n in (4, 5, 6) for i in range(len(w) - n + 1)}
+def grams(word: str) -> Iterator[str]:
+    """All n-grams of a word, with repeats."""
+    w = f"^{word}$"
+    return (w[i : i + n] for n in (4, 5, 6) for i in range(len(w) - n + 1))
 
 
 def word_set(text: str) -> set[str]:
     return set(LETTERS.findall(text.lower()))
 
 
+def binned(words: set[str]) -> tuple[str, list[tuple[int, np.ndarray]]]:
+    """The words as one string, and for each n the bins of its n-grams by place."""
+    joined = f"^{'$^'.join(words)}$"
+    c = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    h, out = np.zeros(len(c), np.uint32), []
+    for n in range(1, 7):
+        h = h[: max(0, len(c) - n + 1)] * np.uint32(0x01000193) + c[n - 1 :] * np.uint32(0x9E3779B1) + np.uint32(n)
+        if n > 3:
+            out.append((n, (h * np.uint32(0x85EBCA6B)) >> np.uint32(10)))
+    return joined, out
+
+
+def feature_counts(texts: list[str], graded: np.ndarray) -> tuple[Counter, Counter]:
+    """Graded texts of each n-gram that is in ``LEAST_TEXTS`` of them or more, and ungraded ones: bins are counted first, so that rare n-grams of long runs take no memory."""
+    seen = np.zeros(BINS, np.int32)
+    for i in np.flatnonzero(graded):
+        for _, bins in binned(word_set(texts[i]))[1]:
+            seen[np.unique(bins)] += 1
+    top, rest = Counter(), Counter()
+    for into, which in ((top, graded), (rest, ~graded)):
+        for i in np.flatnonzero(which):
+            joined, found = binned(word_set(texts[i]))
+            got = {joined[p : p + n] for n, bins in found for p in np.flatnonzero(seen[bins] >= LEAST_TEXTS).tolist()}
+            into.update(g for g in got if "$" not in g[:-1] and "^" not in g[1:] and (into is top or g in top))
+        if into is top:
+            top = Counter({g: c for g, c in top.items() if c >= LEAST_TEXTS})
+    return top, rest
+
+
 class Hits(dict):
     """The features of each word seen."""
 
@@ -49,7 +81,9 @@ class Hits(dict):
     def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) >= KEPT:
             self.clear()
-        got = self[word] = tuple(self.index[g] for g in grams(word) if g in self.index)
+        got = tuple({self.index[g] for g in grams(word) if g in self.index})
+        if len(word) <= PIECE:
+            self[word] = got
         return got
 
     def of(self, text: str | None) -> set[int]:
@@ -84,11 +118,9 @@ def fit(texts: list[str], labels: list[int], *, features: int = FEATURES, rounds
     """Fits by gradient steps with momentum on the mean negative log likelihood. One grade alone gives no thresholds."""
     grades = sorted(set(labels))
     y = np.array([grades.index(v) for v in labels])
-    top, rest = Counter(), Counter()
-    for t, v in zip(texts, y, strict=True):
-        (top if v else rest).update(set().union(*map(grams, word_set(t))))
+    top, rest = feature_counts(texts, y > 0)
     n1, n0 = max(1, int((y > 0).sum())), max(1, int((y == 0).sum()))
-    odds = {g: np.log((c + 0.5) / (n1 + 1) / ((rest[g] + 0.5) / (n0 + 1))) for g, c in top.items() if c >= 3}
+    odds = {g: np.log((c + 0.5) / (n1 + 1) / ((rest[g] + 0.5) / (n0 + 1))) for g, c in top.items()}
     # features that tell graded from ungraded documents apart, those in most graded ones first
     names = sorted(sorted(g for g in odds if odds[g] >= LEAST_ODDS), key=lambda g: -top[g] * odds[g])[:features]
     del top, rest, odds

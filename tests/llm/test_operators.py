@@ -463,3 +463,14 @@ def test_passages_without_stops_stay(spark):
     texts = [f"{prose(rng, 6)} {passage} {prose(rng, 7)}.", f"{prose(rng, 9)} {passage} {prose(rng, 8)}.", f"{prose(rng, 9)}.\n{passage}\n{prose(rng, 8)}.", f"{prose(rng, 5)}.\n{passage}\n{prose(rng, 8)}."]
     got = {r.doc_id: r.n_removed for r in substring_dedup.dedup_units(docs(spark, texts), kind="passage").collect()}
     assert got == {0: 0, 1: 0, 2: 0, 3: 1}
+
+
+def test_toxicity_reads_long_runs(spark):
+    """A term after 200 and after 5,000 letters of an unbroken run counts, in fitting and in scoring."""
+    rng = random.Random(15)
+    runs = ["".join(chr(rng.randint(0x4E00, 0x9F00)) for _ in range(n)) for n in [300, 1200, 6000] * 20]
+    texts = [r + ("毒毒坏坏恶恶" if i % 2 else "") + r[:40] for i, r in enumerate(runs)]
+    model = toxicity.fit(texts, [i % 2 for i in range(len(texts))])
+    assert "毒毒坏坏恶恶" in model.features
+    labels = spark.createDataFrame([(i, i % 2) for i in range(len(texts))], "doc_id long, grade int")
+    assert {r.doc_id for r in toxicity.without_toxic(docs(spark, texts), labels).collect()} == set(range(0, len(texts), 2))
