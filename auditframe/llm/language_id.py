@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrow
-from .sampling import sample_ids
+from .sampling import CLASSES, sample_ids
 
 ORDERS, BINS = (1, 2, 3, 4), 1 << 14
 #: Texts a language that a model is fitted on, of those the landmarks, and characters a language.
@@ -91,10 +91,10 @@ def held_out(doc_id):
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def learn(docs: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Kernel | None:
-    """Fits on at most ``sample`` texts of each language, by a hash of doc_id, of those that aren't held out."""
+def learn(docs: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS, languages: int = CLASSES) -> Kernel | None:
+    """Fits on at most ``sample`` texts of each language, by a hash of doc_id, of those that aren't held out; over ``languages`` languages are a ValueError."""
     open_ = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    ids = sample_ids(open_.select("lang", "doc_id", F.length("text").alias("n")), "lang", sample, chars, 5)
+    ids = sample_ids(open_.select("lang", "doc_id", F.length("text").alias("n")), "lang", sample, chars, 5, languages)
     if not ids:
         return None
     rows = open_.where(F.col("doc_id").isin(list({k[1] for k in ids}))).groupBy("lang", "doc_id").agg(F.min("text").alias("text")).collect()
@@ -118,13 +118,14 @@ def _score(model: Kernel | None):
     return run
 
 
-def identify(docs: DataFrame) -> DataFrame:
+def identify(docs: DataFrame, *, languages: int = CLASSES) -> DataFrame:
     """The language of each row of ``docs(doc_id, text, lang)``.
 
-    Learns from text and non-null lang of rows that aren't :func:`held_out`. Returns ``doc_id, held_out,
+    Learns from text and non-null lang of rows that aren't :func:`held_out`, all languages; more than ``languages``
+    of them are a ValueError, since landmarks and time grow with them. Returns ``doc_id, held_out,
     lang_pred, score``. Defined cases: ``und`` with score 0 for a text that is null or has no letter, and for
     every text if nothing can be learnt; a null doc_id is not held out and not learnt from; repeated rows get
     equal results; an empty table gives no rows; further columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
-    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(_score(learn(docs)), arrow.ddl(SCORES))
+    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(_score(learn(docs, languages=languages)), arrow.ddl(SCORES))

@@ -5,18 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Classes that are learnt, the most frequent first.
+#: Classes that can be learnt; more are an error.
 CLASSES = 200
 
 
-def sample_ids(rows: DataFrame, label: str, sample: int, chars: int, seed: int) -> dict[tuple, None]:
+def sample_ids(rows: DataFrame, label: str, sample: int, chars: int, seed: int, classes: int = CLASSES) -> dict[tuple, None]:
     """``(class, doc_id)`` of at most ``sample`` documents of each class of ``rows(label, doc_id, n)`` and ``chars`` characters of each.
 
     Counts say what share of a class is twice the sample; the documents whose hash is below that share are
-    read, and the first by hash are taken. Rows that repeat a doc_id are one.
+    read, and the first by hash are taken. Rows that repeat a doc_id are one. More than ``classes`` classes are a ValueError.
     """
     one = rows.groupBy(label, "doc_id").agg(F.max("n").alias("n")).withColumn("h", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)))
-    counts = one.groupBy(label).agg(F.count("*").alias("count")).orderBy(F.desc("count"), label).limit(CLASSES).collect()
+    counts = one.groupBy(label).agg(F.count("*").alias("count")).orderBy(F.desc("count"), label).limit(classes + 1).collect()
+    if len(counts) > classes:
+        raise ValueError(f"{label} has more than {classes} values; none is left out, so raise the bound or merge some")
     if not counts:
         return {}
     share = F.create_map(*(F.lit(x) for r in counts for x in (r[0], min(1.0, 2 * sample / r["count"]) * (1 << 30))))

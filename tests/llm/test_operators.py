@@ -474,3 +474,13 @@ def test_toxicity_reads_long_runs(spark):
     assert "毒毒坏坏恶恶" in model.features
     labels = spark.createDataFrame([(i, i % 2) for i in range(len(texts))], "doc_id long, grade int")
     assert {r.doc_id for r in toxicity.without_toxic(docs(spark, texts), labels).collect()} == set(range(0, len(texts), 2))
+
+
+def test_languages_over_the_bound_are_an_error(spark):
+    d = spark.createDataFrame([(i, f"text of words {i}", f"l{i % 240:03d}", "s", None) for i in range(2400)], DOCS)
+    with pytest.raises(ValueError, match="more than 200"):
+        language_id.identify(d)
+    few = d.where("lang < 'l003'")
+    with pytest.raises(ValueError, match="more than 2 "):
+        language_id.identify(few, languages=2)
+    assert set(language_id.learn(few, languages=3).languages) == {"l000", "l001", "l002"}
