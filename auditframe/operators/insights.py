@@ -22,19 +22,19 @@ from .columns import sampled
 LIFT, CARDS, OF_KIND, OF_PAIR = 1.5, 12, 4, 2
 
 
-def stratum_of(f: AuditFrame, column: str) -> Column:
-    """Categories as they are, with those on fewer than ten rows pooled; numbers in five bands."""
+def stratified(f: AuditFrame, column: str) -> DataFrame:
+    """The sampled rows with their stratum ``__s``: categories as they are, with those on fewer than ten rows pooled; numbers in five bands."""
     if f.types[column] == "numeric" and f.category[column] == "free_text":
         q = f.vc.where((F.col("column") == column) & F.col("x").isNotNull()).agg(F.percentile("x", F.array(*(F.lit(b / 5) for b in range(1, 5))), F.col("n"))).first()[0]
-        return sum(((f.number(column) >= c).cast("int") for c in q or []), F.lit(0)).cast("string")
-    few = [r.v for r in f.vc.where((F.col("column") == column) & (F.col("v") != "")).groupBy("v").agg(F.sum("n").alias("n")).where("n < 10").limit(1000).collect()]
-    v = f.value(column)
-    return F.when(v.isin(few), "other").otherwise(v) if few else v
+        return sampled(f).withColumn("__s", sum(((f.number(column) >= c).cast("int") for c in q or []), F.lit(0)).cast("string"))
+    few = f.vc.where((F.col("column") == column) & (F.col("v") != "")).groupBy(F.col("v").alias("__few")).agg(F.sum("n").alias("__n")).where("__n < 10")
+    rows = sampled(f).withColumn("__v", f.value(column)).join(few, F.col("__v") == F.col("__few"), "left")
+    return rows.withColumn("__s", F.when(F.col("__few").isNotNull(), "other").otherwise(F.col("__v"))).drop("__v", "__few", "__n")
 
 
 def within_strata_spearman(f: AuditFrame, a: str, b: str, by: str) -> DataFrame:
     """``(a, b, n, rho)``: rank correlations inside strata of ten rows or more, weighed by their rows."""
-    rows = sampled(f).select(stratum_of(f, by).alias("s"), f.number(a).alias("x"), f.number(b).alias("y")).where("s <> '' and x is not null and y is not null")
+    rows = stratified(f, by).select(F.col("__s").alias("s"), f.number(a).alias("x"), f.number(b).alias("y")).where("s <> '' and x is not null and y is not null")
     for v in ("x", "y"):
         rows = rows.withColumn(f"r{v}", F.rank().over(Window.partitionBy("s").orderBy(v)) + (F.count("*").over(Window.partitionBy("s", v)) - 1) / 2)
     each = rows.groupBy("s").agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("rho")).where("n >= 10 and rho is not null and not isnan(rho)")
@@ -43,7 +43,7 @@ def within_strata_spearman(f: AuditFrame, a: str, b: str, by: str) -> DataFrame:
 
 def within_strata_eta_squared(f: AuditFrame, measure: str, group: str, by: str) -> DataFrame:
     """``(measure, by, n, eta2)``: variation between groups inside strata over all variation inside strata."""
-    rows = sampled(f).select(stratum_of(f, by).alias("s"), f.value(group).alias("g"), f.number(measure).alias("x")).where("s <> '' and g <> '' and x is not null")
+    rows = stratified(f, by).select(F.col("__s").alias("s"), f.value(group).alias("g"), f.number(measure).alias("x")).where("s <> '' and g <> '' and x is not null")
     cell = rows.groupBy("s", "g").agg(F.count("*").alias("n"), F.sum("x").alias("sx"), F.sum(F.col("x") * F.col("x")).alias("sxx"))
     each = cell.groupBy("s").agg(F.sum("n").alias("n"), (F.sum(F.col("sx") * F.col("sx") / F.col("n")) - F.sum("sx") * F.sum("sx") / F.sum("n")).alias("between"), (F.sum("sxx") - F.sum("sx") * F.sum("sx") / F.sum("n")).alias("total")).where("n >= 10")
     return each.agg(F.sum("n").alias("n"), F.round(F.try_divide(F.sum("between"), F.sum("total")), 6).alias("eta2")).select(F.lit(measure).alias("measure"), F.lit(group).alias("by"), "n", "eta2")

@@ -211,3 +211,13 @@ def test_coded_units(spark):
     assert specs["weight_lbs"] == (9023.0, 9352.0, 9000.0, "kg")
     assert one(spark, lambda c: I.fix_coded_units(c, "weight_lbs", specs["weight_lbs"]), ["9080", "180", "7777"]) == ["176", "180", "7777"]
     assert one(spark, lambda c: I.fix_coded_units(c, "height_ft_in", specs["height_ft_in"]), ["9180", "511"]) == ["511", "511"]
+
+
+def test_every_rare_stratum_is_pooled(spark):
+    """1,500 levels on a row each, and one on 20: two strata."""
+    from auditframe.operators import insights as I
+
+    rows = [(i, f"rare{i}" if i < 1500 else "common", "ab"[i % 2], str(i % 7)) for i in range(1520)]
+    f = AuditFrame(spark.createDataFrame(rows, "_rid long, level string, side string, x string"))
+    assert {r["__s"]: r["count"] for r in I.stratified(f, "level").groupBy("__s").count().collect()} == {"other": 1500, "common": 20}
+    assert I.within_strata_eta_squared(f, "x", "side", "level").first().n == 1520
