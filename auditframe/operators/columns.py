@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from ..functions import names as N
 from ..plans.frame import AuditFrame
+from .ordered import at_place, quantiles, running
 from .registry import check
 
-#: Rows that pairwise statistics read, evenly spaced; columns of a kind; columns and levels of rare combinations.
-SAMPLE_ROWS, MANY, COMBINED, LEVELS = 20_000, 30, 20, 12
+#: Levels of a column in rare combinations.
+LEVELS = 12
+#: Order statistics and splits that overlapping units are looked for in.
+STATISTICS, SPLITS = 5000, 200
 # Two units of a quantity and their factor, by role.
 UNITS = {"WEIGHT": [("kg", "lb", 2.20462)], "HEIGHT": [("cm", "in", 2.54), ("m", "ft", 3.28084)], "INCOME": [("dollars", "thousands of dollars", 1000.0)], "DISTANCE": [("mi", "km", 1.60934)]}
 
@@ -25,25 +28,24 @@ def r6(x: float | None) -> str | None:
 
 
 def sampled(f: AuditFrame) -> DataFrame:
-    """The rows at ``int(i * n / SAMPLE_ROWS)``, or all if there are no more."""
-    if f.rows <= SAMPLE_ROWS:
+    """All rows, or, where the frame's bounds say so, those at ``int(i * n / rows)``."""
+    most = f.bounds.rows
+    if most is None or f.rows <= most:
         return f.wide
-    at = f.spark.range(SAMPLE_ROWS).select((F.col("id") * F.lit(f.rows / SAMPLE_ROWS)).cast("long").alias("__at"))
+    at = f.spark.range(most).select((F.col("id") * F.lit(f.rows / most)).cast("long").alias("__at"))
     ranked = placed(f)
     return ranked.join(at, ranked.__place == at.__at, "left_semi").drop("__place")
 
 
 def placed(f: AuditFrame) -> DataFrame:
-    """Rows with their place in source order from 0: ranges of the row number are counted, then ranked inside."""
-    n = 256
-    top = f.wide.agg(F.max(f.rid)).first()[0] or 0
-    width = max(1, (top + 1 + n - 1) // n)
-    part = F.floor(F.col(f.rid) / width).cast("long")
-    counts = f.wide.groupBy(part.alias("__part")).count()
-    before = counts.withColumn("__before", F.sum("count").over(Window.orderBy("__part")) - F.col("count")).drop("count")
-    rows = f.wide.withColumn("__part", part).join(F.broadcast(before), "__part")  # 256 rows
-    rank = F.row_number().over(Window.partitionBy("__part").orderBy(f.rid)) - 1
-    return rows.withColumn("__place", F.col("__before") + rank).drop("__part", "__before")
+    """Rows with their place in source order from 0."""
+    ids = running(f.wide.select(F.lit(0).alias("__k"), F.col(f.rid).alias("__x"), F.lit(1).alias("__n")), ["__k"], "__x", "__n")
+    return f.wide.join(ids.select("__x", (F.col("upto") - 1).alias("__place")), F.col(f.rid) == F.col("__x")).drop("__x")
+
+
+def counted(f: AuditFrame, columns: list[str]) -> DataFrame:
+    """``(column, x, n)``: the numbers of columns, without codes, and how often."""
+    return f.vc.where(F.col("column").isin(columns) & code_free(f) & F.col("x").isNotNull()).groupBy("column", "x").agg(F.sum("n").alias("n"))
 
 
 @check("DF-05", "substantial_missingness", "columns")
@@ -55,19 +57,17 @@ def substantial_missingness(f: AuditFrame) -> DataFrame:
 @check("DF-06", "missingness_concentration", "pairs", "suggestion")
 def missingness_concentration(f: AuditFrame) -> DataFrame:
     """Medians of a numeric column where another is missing and where it isn't, a fifth apart or more."""
-    free = f.of_category("free_text")
     targets = [c for c in f.columns if f.stats[c].blanks >= 5 and f.stats[c].total - f.stats[c].blanks >= 5]
-    numeric = [c for c in free if f.stats[c].numeric >= 10]
-    aggs, pairs = [], [(t, c) for t in targets for c in numeric if t != c]
-    for i, (t, c) in enumerate(pairs):
-        gone = f.value(t) == ""
-        for k, cond in (("m", gone), ("p", ~gone)):
-            x = F.when(cond, f.number(c))
-            aggs += [F.median(x).alias(f"{k}{i}"), F.count(x).alias(f"n{k}{i}")]
-    got = f.wide.agg(*aggs).first() if aggs else None
+    numeric = [c for c in f.of_category("free_text") if f.stats[c].numeric >= 10]
+    pairs = [(t, c) for t in targets for c in numeric if t != c]
+    if not pairs:
+        return f.listed([])
+    cells = F.array(*(F.struct(F.lit(t).alias("target"), F.lit(c).alias("column"), (f.value(t) == "").alias("gone"), f.number(c).alias("x")) for t, c in pairs))
+    values = f.wide.select(F.explode(cells).alias("s")).select("s.*").where("x is not null").groupBy("target", "column", "gone", "x").agg(F.count("*").alias("n"))
+    got = {(r.target, r.column, r.gone): (r.q[0], r.total) for r in quantiles(values, ["target", "column", "gone"], [0.5]).collect()}
     out = []
-    for i, (t, c) in enumerate(pairs):
-        a, b, na, nb = got[f"m{i}"], got[f"p{i}"], got[f"nm{i}"], got[f"np{i}"]
+    for t, c in pairs:
+        (a, na), (b, nb) = got.get((t, c, True), (None, 0)), got.get((t, c, False), (None, 0))
         if na >= 5 and nb >= 5 and b and abs(a - b) / abs(b) >= 0.2:
             out.append((t, c, f"{r6(a)} {r6(b)}"))
     return f.listed(out)
@@ -124,11 +124,10 @@ def fences(f: AuditFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
             use.append(c)
     if not use:
         return {}
-    x = F.when(code_free(f), F.col("x"))
-    got = f.vc.where(F.col("column").isin(use) & (F.col("raw") != "")).groupBy("column").agg(
-        F.percentile(x, F.array(F.lit(0.25), F.lit(0.75)), F.col("n")).alias("q"), F.sum(F.when(x.isNotNull(), F.col("n"))).alias("n"), F.sum(F.when(code_free(f) & F.col("x").isNull(), F.col("n"))).alias("other")
-    )
-    return {r.column: (r.q[0] - 1.5 * (r.q[1] - r.q[0]), r.q[1] + 1.5 * (r.q[1] - r.q[0])) for r in got.collect() if not r.other and (r.n or 0) >= 4}
+    filled = f.vc.where(F.col("column").isin(use) & (F.col("raw") != "") & code_free(f))
+    plain = [r.column for r in filled.groupBy("column").agg(F.count_if(F.col("x").isNull()).alias("other"), F.sum("n").alias("n")).collect() if not r.other and r.n >= 4]
+    got = quantiles(counted(f, plain), ["column"], [0.25, 0.75]).collect() if plain else []
+    return {r.column: (r.q[0] - 1.5 * (r.q[1] - r.q[0]), r.q[1] + 1.5 * (r.q[1] - r.q[0])) for r in got}
 
 
 def code_free(f: AuditFrame) -> Column:
@@ -261,19 +260,20 @@ def cumulative(runs: list[tuple]) -> list[tuple]:
     return out
 
 
-def median_of(column: str, cond: Column) -> Column:
-    return F.percentile(F.when(cond, F.col("x")), 0.5, F.col("n"))
-
-
 def bimodal_splits(f: AuditFrame, columns: list[str]) -> dict[str, tuple[float, float, float, int, int]]:
     """The largest ratio between neighbouring positive values with three or more on each side: ``(below, above, ratio, n below, n above)``."""
-    x = F.col("x")
-    vals = f.vc.where(F.col("column").isin(columns) & code_free(f) & (x > 0)).groupBy("column", "x").agg(F.sum("n").alias("n"))
-    w = Window.partitionBy("column").orderBy("x")
-    steps = vals.withColumn("under", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("total", F.sum("n").over(Window.partitionBy("column"))).withColumn("before", F.lag("x").over(w))
-    steps = steps.where("under >= 3 and total - under >= 3").withColumn("ratio", x / F.col("before"))
-    best = steps.groupBy("column").agg(F.max(F.struct("ratio", (-x).alias("x"), "before", "under", "total")).alias("b")).collect()
-    return {r.column: (r.b.before, -r.b.x, r.b.ratio, r.b.under, r.b.total - r.b.under) for r in best}
+    steps = running(counted(f, columns).where("x > 0"), ["column"]).withColumn("under", F.col("upto") - F.col("n"))
+    steps = steps.where("under >= 3 and total - under >= 3").withColumn("ratio", F.col("x") / F.col("below"))
+    best = steps.groupBy("column").agg(F.max(F.struct("ratio", (-F.col("x")).alias("x"), "below", "under", "total")).alias("b")).collect()
+    return {r.column: (r.b.below, -r.b.x, r.b.ratio, r.b.under, r.b.total - r.b.under) for r in best}
+
+
+def side_medians(f: AuditFrame, splits: dict[str, float], least: float = -math.inf) -> dict[str, tuple[float, float]]:
+    """The medians of each column's numbers over ``least`` below and from a split on."""
+    at = F.create_map(*(F.lit(v) for kv in splits.items() for v in kv))
+    sides = counted(f, list(splits)).where(F.col("x") > least).withColumn("high", F.col("x") >= at[F.col("column")])
+    got = {(r.column, r.high): r.q[0] for r in quantiles(sides, ["column", "high"], [0.5]).collect()}
+    return {c: (got[c, False], got[c, True]) for c in splits}
 
 
 @check("DF-17", "mixed_units", "columns", "error")
@@ -283,10 +283,12 @@ def mixed_units(f: AuditFrame) -> DataFrame | None:
     if not use:
         return None
     out = []
-    for c, (below, above, ratio, n_low, n_high) in bimodal_splits(f, use).items():
-        got = f.vc.where((F.col("column") == c) & code_free(f) & (F.col("x") > 0)).agg(median_of(c, F.col("x") <= below).alias("low"), median_of(c, F.col("x") >= above).alias("high")).first()
+    splits = bimodal_splits(f, use)
+    medians = side_medians(f, {c: s[1] for c, s in splits.items()}, 0.0) if splits else {}
+    for c, (_, above, ratio, n_low, n_high) in splits.items():
+        low_median, high_median = medians[c]
         for low_unit, high_unit, factor in UNITS[f.roles[c]]:
-            if ratio >= 1.1 and abs(got.high / got.low - factor) / factor <= 0.05:
+            if ratio >= 1.1 and abs(high_median / low_median - factor) / factor <= 0.05:
                 out.append((c, "low" if n_low < n_high else "high", f"{low_unit} {high_unit} {r6(above)}"))
                 break
         else:
@@ -297,18 +299,25 @@ def mixed_units(f: AuditFrame) -> DataFrame | None:
 
 
 def overlapping_split(f: AuditFrame, column: str) -> tuple[str, str, float] | None:
-    """A split of overlapping clusters after which the values spread much less, over at most 5,000 order statistics and 200 splits."""
-    rows = f.vc.where((F.col("column") == column) & code_free(f) & (F.col("x") > 0)).groupBy("x").agg(F.sum("n").alias("n"))
+    """A split of overlapping clusters after which the values spread much less, over ``STATISTICS`` order statistics and ``SPLITS`` splits at most."""
+    rows = counted(f, [column]).where("x > 0")
     total = rows.agg(F.sum("n")).first()[0] or 0
     if total < 40:
         return None
-    grid = [i / 4999 for i in range(5000)] if total > 5000 else [i / (total - 1) for i in range(total)]
-    xs = sorted(rows.agg(F.percentile("x", F.lit(grid), F.col("n"))).first()[0])
+    # order statistics at evenly spaced places, all of them if there are no more: a value finds the places it covers
+    last = min(total, STATISTICS) - 1
+    step = (total - 1) / last
+    near = F.sequence(F.greatest(F.floor((F.col("upto") - F.col("n") - 1) / step) - 1, F.lit(0)), F.least(F.ceil(F.col("upto") / step) + 1, F.lit(last)))
+    met = running(rows, ["column"]).select("x", "upto", "n", F.explode(near).alias("i"))
+    place = F.least(F.col("i") * step, F.lit(float(total - 1)))
+    covering = lambda k: F.max(F.when((F.col("upto") > k) & (F.col("upto") - F.col("n") <= k), F.col("x")))
+    got = met.groupBy("i").agg(covering(F.floor(place)).alias("low"), covering(F.ceil(place)).alias("high")).collect()
+    xs = sorted(r.low + (r.high - r.low) * (r.i * step % 1) for r in got)
     cv = lambda v: math.sqrt(sum((a - sum(v) / len(v)) ** 2 for a in v) / len(v)) / (sum(v) / len(v))
     whole = cv(xs)
     best = None
     for low, high, factor in UNITS[f.roles[column]]:
-        for i in range(3, len(xs) - 2, max(1, len(xs) // 200)):
+        for i in range(3, len(xs) - 2, max(1, len(xs) // SPLITS)):
             a, b = xs[:i], xs[i:]
             if abs(b[len(b) // 2] / a[len(a) // 2] - factor) / factor > 0.05:
                 continue
@@ -325,20 +334,19 @@ def temperature_units(f: AuditFrame) -> DataFrame | None:
     use = N.named("temperature", f.columns)
     if not use:
         return None
-    vals = f.vc.where(F.col("column").isin(use) & code_free(f) & F.col("x").isNotNull()).groupBy("column", "x").agg(F.sum("n").alias("n"))
-    w = Window.partitionBy("column").orderBy("x")
-    steps = vals.withColumn("under", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("total", F.sum("n").over(Window.partitionBy("column"))).withColumn("before", F.lag("x").over(w))
-    best = steps.where("total >= 6 and under >= 3 and total - under >= 3").groupBy("column").agg(F.max(F.struct((F.col("x") - F.col("before")).alias("gap"), "under", "x", "total")).alias("b")).collect()
+    steps = running(counted(f, use), ["column"]).withColumn("under", F.col("upto") - F.col("n"))
+    steps = steps.where("total >= 6 and under >= 3 and total - under >= 3")
+    best = {r.column: r.b for r in steps.groupBy("column").agg(F.max(F.struct((F.col("x") - F.col("below")).alias("gap"), "under", "x", "total")).alias("b")).collect()}
+    if not best:
+        return f.evidence([])
+    at = F.create_map(*(F.lit(v) for c, b in best.items() for v in (c, b.x)))
+    sides = running(counted(f, list(best)).withColumn("warm", F.col("x") >= at[F.col("column")]), ["column", "warm"])
+    middle = {(r.column, r.warm): r.x for r in sides.groupBy("column", "warm", "total").agg(at_place(F.floor(F.col("total") / 2)).alias("x")).collect()}
     found = []
-    for r in best:
-        def upper(cond: str, k: int, c: str = r.column) -> float:
-            run = vals.where((F.col("column") == c) & F.expr(cond)).withColumn("upto", F.sum("n").over(Window.partitionBy("column").orderBy("x")))
-            return run.where(F.col("upto") > k).agg(F.min("x")).first()[0]
-
-        low, high = upper(f"x < {r.b.x!r}D", r.b.under // 2), upper(f"x >= {r.b.x!r}D", (r.b.total - r.b.under) // 2)
+    for c, b in best.items():
+        low, high, few_low = middle[c, False], middle[c, True], b.under < b.total - b.under
         if low > 0 and abs((high - 32) / 1.8 - low) / low <= 0.1:
-            c, minority_low = r.column, r.b.under < r.b.total - r.b.under
-            found.append((c, f.number(c) < r.b.x if minority_low else f.number(c) >= r.b.x, F.lit("celsius" if minority_low else "fahrenheit")))
+            found.append((c, f.number(c) < b.x if few_low else f.number(c) >= b.x, F.lit("celsius" if few_low else "fahrenheit")))
     return f.evidence(found)
 
 
@@ -348,14 +356,13 @@ def total_mismatch(f: AuditFrame) -> DataFrame | None:
     use = N.total_candidates(f.columns)
     if not use:
         return None
-    found = []
-    for total, parts in use:
-        t, s = f.number(total), sum((f.number(p) for p in parts[1:]), f.number(parts[0]))
-        off = F.abs(t - s) > F.greatest(F.lit(0.01), 0.001 * F.abs(t))
-        n, bad = f.wide.agg(F.count(off), F.count_if(off)).first()
-        if n >= 10 and (n - bad) / n >= 0.8:
-            found.append((total, off, F.lit(",".join(parts))))
-    return f.evidence(found)
+    off = []
+    for whole, parts in use:
+        t, said = f.number(whole), sum((f.number(p) for p in parts[1:]), f.number(parts[0]))
+        off.append(F.abs(t - said) > F.greatest(F.lit(0.01), 0.001 * F.abs(t)))
+    got = f.wide.agg(*(agg.alias(f"{k}{i}") for i, bad in enumerate(off) for k, agg in (("n", F.count(bad)), ("bad", F.count_if(bad))))).first()
+    sums = [i for i in range(len(use)) if got[f"n{i}"] >= 10 and got[f"bad{i}"] <= 0.2 * got[f"n{i}"]]
+    return f.evidence([(use[i][0], off[i], F.lit(",".join(use[i][1]))) for i in sums])
 
 
 @check("DF-32", "group_missingness", "pairs", "suggestion")
@@ -367,9 +374,11 @@ def group_missingness(f: AuditFrame) -> DataFrame | None:
     if not targets or not levels + numeric:
         return None
     rows = sampled(f)
-    cuts = dict(zip(numeric, rows.agg(*(F.median(f.number(c)) for c in numeric)).first(), strict=True)) if numeric else {}
+    numbers = F.array(*(F.struct(F.lit(c).alias("column"), f.number(c).alias("x")) for c in numeric)) if numeric else None
+    values = rows.select(F.explode(numbers).alias("s")).select("s.*").where("x is not null").groupBy("column", "x").agg(F.count("*").alias("n")) if numeric else None
+    cuts = {r.column: r.q[0] for r in quantiles(values, ["column"], [0.5]).collect()} if numeric else {}
     groups = {c: F.when(f.value(c) != "", f.value(c)) for c in levels}
-    groups |= {c: F.when(f.number(c) < cut, "below").when(f.number(c) >= cut, "from") for c, cut in cuts.items() if cut is not None}
+    groups |= {c: F.when(f.number(c) < cuts[c], "below").when(f.number(c) >= cuts[c], "from") for c in numeric if c in cuts}
     flags = [F.sum(F.col("gone")[i]).alias(f"t{i}") for i in range(len(targets))]
     gone = F.array(*((f.value(t) == "").cast("int") for t in targets)).alias("gone")
     rows = rows.select(gone, *(g.alias(f"g{i}") for i, g in enumerate(groups.values())))

@@ -9,14 +9,15 @@ from __future__ import annotations
 import re
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..functions import names as N
 from ..plans.frame import AuditFrame
 from . import statistics as S
-from .columns import sampled
+from .columns import counted, sampled
+from .ordered import quantiles
 
 #: Lift from which a likelihood is told; cards in all, of a kind, and about the same columns.
 LIFT, CARDS, OF_KIND, OF_PAIR = 1.5, 12, 4, 2
@@ -25,8 +26,9 @@ LIFT, CARDS, OF_KIND, OF_PAIR = 1.5, 12, 4, 2
 def stratified(f: AuditFrame, column: str) -> DataFrame:
     """The sampled rows with their stratum ``__s``: categories as they are, with those on fewer than ten rows pooled; numbers in five bands."""
     if f.types[column] == "numeric" and f.category[column] == "free_text":
-        q = f.vc.where((F.col("column") == column) & F.col("x").isNotNull()).agg(F.percentile("x", F.array(*(F.lit(b / 5) for b in range(1, 5))), F.col("n"))).first()[0]
-        return sampled(f).withColumn("__s", sum(((f.number(column) >= c).cast("int") for c in q or []), F.lit(0)).cast("string"))
+        got = quantiles(f.vc.where((F.col("column") == column) & F.col("x").isNotNull()), ["column"], [b / 5 for b in range(1, 5)]).first()
+        q = got.q if got else []
+        return sampled(f).withColumn("__s", sum(((f.number(column) >= c).cast("int") for c in q), F.lit(0)).cast("string"))
     few = f.vc.where((F.col("column") == column) & (F.col("v") != "")).groupBy(F.col("v").alias("__few")).agg(F.sum("n").alias("__n")).where("__n < 10")
     rows = sampled(f).withColumn("__v", f.value(column)).join(few, F.col("__v") == F.col("__few"), "left")
     return rows.withColumn("__s", F.when(F.col("__few").isNotNull(), "other").otherwise(F.col("__v"))).drop("__v", "__few", "__n")
@@ -34,10 +36,8 @@ def stratified(f: AuditFrame, column: str) -> DataFrame:
 
 def within_strata_spearman(f: AuditFrame, a: str, b: str, by: str) -> DataFrame:
     """``(a, b, n, rho)``: rank correlations inside strata of ten rows or more, weighed by their rows."""
-    rows = stratified(f, by).select(F.col("__s").alias("s"), f.number(a).alias("x"), f.number(b).alias("y")).where("s <> '' and x is not null and y is not null")
-    for v in ("x", "y"):
-        rows = rows.withColumn(f"r{v}", F.rank().over(Window.partitionBy("s").orderBy(v)) + (F.count("*").over(Window.partitionBy("s", v)) - 1) / 2)
-    each = rows.groupBy("s").agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("rho")).where("n >= 10 and rho is not null and not isnan(rho)")
+    rows = stratified(f, by).select(F.lit(a).alias("a"), F.col("__s").alias("b"), f.number(a).alias("x"), f.number(b).alias("y")).where("b <> '' and x is not null and y is not null")
+    each = S.spearman(rows).where("n >= 10 and rho is not null and not isnan(rho)")
     return each.agg(F.sum("n").alias("n"), F.round(F.try_divide(F.sum(F.col("n") * F.col("rho")), F.sum("n")), 6).alias("rho")).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "n", "rho")
 
 
@@ -93,7 +93,7 @@ def clip(x: float) -> float:
 
 def cards(f: AuditFrame) -> list[dict[str, Any]]:
     """What is worth telling, with scores from 0 to 1, before the choice of :func:`select_cards`."""
-    numeric, groups = S.numeric_columns(f), [c for c in S.group_columns(f) if f.types[c] == "categorical"][:25]
+    numeric, groups = S.numeric_columns(f), [c for c in S.group_columns(f) if f.types[c] == "categorical"][: f.bounds.likelihood]
     out: list[dict[str, Any]] = []
 
     def tell(kind: str, columns: tuple[str, ...], score: float, text: str) -> None:
@@ -198,7 +198,7 @@ def impute_value(f: AuditFrame, column: str) -> str | None:
     """What an approved fill would write: the median of a numeric column to four places, else the most frequent value, of equals the first."""
     v = f.vc.where((F.col("column") == column) & (F.col("v") != ""))
     if f.types[column] == "numeric":
-        got = v.agg(F.percentile(F.when(~F.col("v").isin(f.sentinels.get(column, [""])), F.col("x")), 0.5, F.col("n"))).first()[0]
-        return None if got is None else f"{round(got, 4):g}"
+        got = quantiles(counted(f, [column]), ["column"], [0.5]).first()
+        return None if got is None else f"{round(got.q[0], 4):g}"
     top = v.groupBy("v").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "v").first()
     return None if top is None or N.is_pii(column) else top.v

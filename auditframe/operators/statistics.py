@@ -10,15 +10,16 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..plans.frame import AuditFrame
-from .columns import MANY, sampled
+from .columns import counted, sampled
+from .ordered import at_place, quantiles, running
 
 
 def numeric_columns(f: AuditFrame) -> list[str]:
-    return [c for c in f.columns if f.category[c] == "free_text" and f.types[c] == "numeric"][:MANY]
+    return [c for c in f.columns if f.category[c] == "free_text" and f.types[c] == "numeric"][: f.bounds.columns]
 
 
 def group_columns(f: AuditFrame) -> list[str]:
-    return [c for c in f.of_category("categorical") if 2 <= f.stats[c].distinct <= 50][:MANY]
+    return [c for c in f.of_category("categorical") if 2 <= f.stats[c].distinct <= 50][: f.bounds.columns]
 
 
 def pairs_of(f: AuditFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -31,12 +32,17 @@ def pairs_of(f: AuditFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def spearman(pairs: DataFrame) -> DataFrame:
-    """``(a, b, n, rho)`` of ``(a, b, x, y)``: Pearson's correlation of average ranks."""
-    out = pairs
+    """``(a, b, n, rho)`` of ``(a, b, x, y)``: Pearson's correlation of average ranks, from counts of equal pairs of values.
+
+    An average rank is a running count less half the ties, and the mean of ranks is known, so sums stay small.
+    """
+    joint = pairs.groupBy("a", "b", "x", "y").agg(F.count("*").alias("n"))
+    ranked = joint
     for v in ("x", "y"):
-        w = Window.partitionBy("a", "b")
-        out = out.withColumn(f"r{v}", F.rank().over(w.orderBy(v)) + (F.count("*").over(Window.partitionBy("a", "b", v)) - 1) / 2)
-    return out.groupBy("a", "b").agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("rho"))
+        steps = running(joint.groupBy("a", "b", v).agg(F.sum("n").alias("n")), ["a", "b"], v)
+        ranked = ranked.join(steps.select("a", "b", v, (F.col("upto") - (F.col("n") - 1) / 2 - (F.col("total") + 1) / 2).alias(f"r{v}")), ["a", "b", v])
+    rx, ry, n = F.col("rx"), F.col("ry"), F.col("n")
+    return ranked.groupBy("a", "b").agg(F.sum("n").alias("n"), F.try_divide(F.sum(n * rx * ry), F.sqrt(F.sum(n * rx * rx)) * F.sqrt(F.sum(n * ry * ry))).alias("rho"))
 
 
 def correlations(f: AuditFrame, least: float = 0.3) -> DataFrame:
@@ -86,18 +92,20 @@ def trends(f: AuditFrame, date: str, measures: list[str]) -> DataFrame:
 def concentration(f: AuditFrame, measures: list[str]) -> DataFrame:
     """``(measure, n, share)``: the part of a column's total that its largest tenth of rows holds, from value counts."""
     v = f.vc.where(F.col("column").isin(measures) & (F.col("x") >= 0)).groupBy("column", "x").agg(F.sum("n").alias("n"))
-    w = Window.partitionBy("column")
-    v = v.withColumn("all", F.sum("n").over(w)).withColumn("total", F.sum(F.col("n") * F.col("x")).over(w))
-    v = v.withColumn("upto", F.sum("n").over(w.orderBy(F.desc("x")))).withColumn("top", F.floor(F.col("all") / 10))
-    take = F.greatest(F.lit(0), F.least(F.col("n"), F.col("top") - (F.col("upto") - F.col("n"))))
-    return v.groupBy(F.col("column").alias("measure"), F.col("all").alias("n"), "total").agg(F.sum(take * F.col("x")).alias("held")).where("n >= 30 and total > 0").select("measure", "n", F.round(F.col("held") / F.col("total"), 6).alias("share"))
+    steps = running(v, ["column"])
+    # of a value's rows, those among the last tenth by value
+    held = F.greatest(F.lit(0), F.least(F.col("n"), F.col("upto") - (F.col("total") - F.floor(F.col("total") / 10))))
+    sums = steps.groupBy(F.col("column").alias("measure"), F.col("total").alias("n")).agg(F.sum(held * F.col("x")).alias("top"), F.sum(F.col("x") * F.col("n")).alias("whole"))
+    return sums.where("n >= 30 and whole > 0").select("measure", "n", F.round(F.col("top") / F.col("whole"), 6).alias("share"))
 
 
 def summaries(f: AuditFrame, measures: list[str]) -> DataFrame:
     """``(measure, n, mean, sd, skew, low, median, high)``; skew is the mean cube of what is left over the sample sd."""
     v = f.vc.where(F.col("column").isin(measures) & F.col("x").isNotNull())
     n, x = F.col("n"), F.col("x")
-    s = v.groupBy("column").agg(F.sum("n").alias("all"), (F.sum(n * x) / F.sum("n")).alias("m"), F.min("x").alias("low"), F.max("x").alias("high"), F.percentile("x", 0.5, F.col("n")).alias("median"))
+    s = v.groupBy("column").agg(F.sum("n").alias("all"), (F.sum(n * x) / F.sum("n")).alias("m"), F.min("x").alias("low"), F.max("x").alias("high"))
+    middle = quantiles(v.groupBy("column", "x").agg(F.sum("n").alias("n")), ["column"], [0.5]).select("column", F.col("q")[0].alias("median"))
+    s = s.join(F.broadcast(middle), "column")
     t = v.join(s, "column").groupBy("column", "all", "m", "low", "high", "median").agg(F.sum(n * F.pow(x - F.col("m"), 2)).alias("s2"), F.sum(n * F.pow(x - F.col("m"), 3)).alias("s3"))
     sd = F.sqrt(F.col("s2") / (F.col("all") - 1))
     out = t.where("all >= 30").select(F.col("column").alias("measure"), F.col("all").alias("n"), F.round("m", 6).alias("mean"), F.round(sd, 6).alias("sd"), F.round(F.col("s3") / F.col("all") / F.pow(sd, 3), 6).alias("skew"), "low", "median", "high")
@@ -139,8 +147,8 @@ def standardized_ratio(f: AuditFrame, group: str, level: str, target: str, outco
 
 def quantile_bands(f: AuditFrame, column: str, bands: int = 5) -> DataFrame:
     """``(band, n)``: values cut at the ordered values ``n * b // bands``, from value counts."""
-    v = f.vc.where((F.col("column") == column) & F.col("x").isNotNull()).groupBy("x").agg(F.sum("n").alias("n"))
-    run = v.withColumn("upto", F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("x"))).withColumn("all", F.sum("n").over(Window.partitionBy(F.lit(0))))
-    cuts = [F.min(F.when(F.col("upto") > F.floor(F.col("all") * b / bands), F.col("x"))).over(Window.partitionBy(F.lit(0))) for b in range(1, bands)]
-    band = sum(((F.col("x") >= c).cast("int") for c in cuts), F.lit(0))
-    return run.withColumn("band", band).groupBy("band").agg(F.sum("n").alias("n"))
+    v = f.vc.where((F.col("column") == column) & F.col("x").isNotNull()).groupBy("column", "x").agg(F.sum("n").alias("n"))
+    steps = running(v, ["column"])
+    cuts = steps.groupBy("column").agg(*(at_place(F.floor(F.col("total") * b / bands)).alias(f"cut{b}") for b in range(1, bands)))
+    band = sum(((F.col("x") >= F.col(f"cut{b}")).cast("int") for b in range(1, bands)), F.lit(0))
+    return v.join(F.broadcast(cuts), "column").withColumn("band", band).groupBy("band").agg(F.sum("n").alias("n"))

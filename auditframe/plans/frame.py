@@ -1,6 +1,6 @@
 """The audited table and the three things every check reads: the wide rows, value counts, column statistics.
 
-``vc`` counts distinct cells by column, so pattern work for a column's statistics is done once a distinct value,
+``vc``, a written table, counts distinct cells by column, so pattern work for a column's statistics is done once a distinct value,
 and its totals are one aggregation for all columns. What goes to the driver is one row a column. Evidence comes
 from the wide rows in one pass without a shuffle, whatever the column's cardinality.
 """
@@ -8,6 +8,7 @@ from the wide rows in one pass without a shuffle, whatever the column's cardinal
 from __future__ import annotations
 
 import datetime
+from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Row
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..functions import names as N
+from .shared import saved
 
 # Strings that stand for a missing value, and the share of a column above which they are an answer.
 SENTINELS = ["-99", "-9", "999", "9999", "777", "7777", "n/a", "na", "n.a.", "unknown", "unk", "refused", "dk", "don't know", "not applicable", "."]
@@ -22,6 +24,23 @@ SENTINEL_SHARE = 0.25
 EVIDENCE = "column string, row long, value string, detail string"
 
 
+@dataclass(frozen=True)
+class Bounds:
+    """How much the searches over pairs read; None is all of it, which is the default. ``SMALL`` has the bounds of interactive use."""
+
+    #: Evenly spaced rows of pairwise statistics.
+    rows: int | None = None
+    #: Columns of a kind in associations, in the search for likelihoods, and in rare combinations.
+    columns: int | None = None
+    likelihood: int | None = None
+    combined: int | None = None
+    #: Rows of a block that names are compared in pairs in; larger blocks hold placeholders, not persons.
+    block: int = 200
+
+
+SMALL = Bounds(rows=20_000, columns=30, likelihood=25, combined=20)
+
+
 def stringify(df: DataFrame, rid: str = "_rid") -> DataFrame:
     """Typed columns as cells: null is empty, true and false in lower case, whole floats as integers, dates as ISO."""
     out = []
@@ -46,36 +65,41 @@ def stringify(df: DataFrame, rid: str = "_rid") -> DataFrame:
 class AuditFrame:
     """A table under audit. ``rid`` numbers rows in source order; ``overflow`` has what ragged rows hold beyond the header."""
 
-    def __init__(self, df: DataFrame, *, rid: str = "_rid", overflow: str = "_overflow", as_of: str | None = None, primary_key: list[str] = (), codes: dict[str, dict[str, str]] | None = None) -> None:
+    def __init__(self, df: DataFrame, *, rid: str = "_rid", overflow: str = "_overflow", as_of: str | None = None, primary_key: list[str] = (), codes: dict[str, dict[str, str]] | None = None, bounds: Bounds = Bounds()) -> None:
         self.rid, self.overflow = rid, overflow if overflow in df.columns else None
         self.columns = [c for c in df.columns if c not in (rid, overflow)]
         self.wide = stringify(df, rid)
         self.spark = df.sparkSession
         self.as_of = as_of or datetime.datetime.now(datetime.UTC).date().isoformat()
-        self.primary_key, self.codes = list(primary_key), codes or {}
+        self.primary_key, self.codes, self.bounds = list(primary_key), codes or {}, bounds
 
     @cached_property
     def vc(self) -> DataFrame:
         """``(column, raw, v, x, n, first)``: a cell, stripped, as a number, how often and first where."""
         long = self.wide.unpivot([self.rid], self.columns, "column", "raw")
         counts = long.groupBy("column", "raw").agg(F.count("*").alias("n"), F.min(self.rid).alias("first"))
-        return counts.withColumn("v", X.strip(F.col("raw"))).withColumn("x", X.number(F.col("v"))).persist()
+        return saved(counts.withColumn("v", X.strip(F.col("raw"))).withColumn("x", X.number(F.col("v"))), "vc")
 
     @cached_property
     def stats(self) -> dict[str, Row]:
         """Totals of each column."""
-        v, raw, n, x = F.col("v"), F.col("raw"), F.col("n"), F.col("x")
+        v, n, x = F.col("v"), F.col("n"), F.col("x")
+        # a row a stripped value first: patterns are tried once a value, and values are counted as rows
+        blank = F.col("raw") == ""
+        values = self.vc.groupBy("column", "v").agg(
+            F.sum("n").alias("n"), F.sum(F.when(blank, n).otherwise(0)).alias("null"), F.max(F.length("raw")).alias("longest"), F.first("x").alias("x")
+        )
         share = lambda cond: F.coalesce(F.sum(F.when(cond, n)), F.lit(0))
         nb = v != ""
         numeric, decorated = x.isNotNull(), v.rlike(X.DECORATED)
         digits = v.rlike(r"^\d+$")
         aggs = {
             "total": F.sum("n"),
-            "nulls": share(raw == ""),
-            "blanks": share(v == ""),
-            "unique": F.count_distinct(F.when(raw != "", v)),
-            "distinct": F.count_distinct(F.when(nb, v)),
-            "distinct_cells": F.count_distinct(v),
+            "nulls": F.sum("null"),
+            "blanks": share(~nb),
+            "unique": F.count_if(n > F.col("null")),
+            "distinct": F.count_if(nb),
+            "distinct_cells": F.count("*"),
             "numeric": share(numeric & nb),
             "zeros": share(x == 0),
             "iso": share(X.is_iso(v)),
@@ -87,9 +111,9 @@ class AuditFrame:
             "leading_zero": share(v.rlike(r"^0\d+$")),
             "decorated": share(nb & ~numeric & decorated),
             "letters": share(v.rlike("[A-Za-z]")),
-            "longest": F.max(F.length("raw")),
+            "longest": F.max("longest"),
         }
-        got = {r.column: r for r in self.vc.groupBy("column").agg(*(c.alias(k) for k, c in aggs.items())).collect()}
+        got = {r.column: r for r in values.groupBy("column").agg(*(c.alias(k) for k, c in aggs.items())).collect()}
         return {c: got.get(c) or Row(column=c, **dict.fromkeys(aggs, 0)) for c in self.columns}
 
     @cached_property

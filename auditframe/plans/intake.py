@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .frame import AuditFrame
+from .shared import saved
 
 AS_OF = "2026-01-01"
 DATE = "cast(date '{0}' + cast({1} as int) as string)"
@@ -73,9 +74,20 @@ def visits_sql(customer: str) -> str:
     return f"select k as rid, {cells} from (select *, case when g % 50 in (1, 2) then g - g % 50 else g end as h from ({g}) u) t"
 
 
+_MADE: dict[tuple, DataFrame] = {}
+
+
+def made(spark: SparkSession, sf_dir: str, name: str, sql: str) -> DataFrame:
+    """The table that ``sql`` makes of ``customer``, written once a session: queries read it as they would any input."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _MADE:
+        customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
+        _MADE[key] = saved(spark.sql(sql, customer=customer).withColumnRenamed("rid", "_rid"), name)
+    return _MADE[key]
+
+
 def visits(spark: SparkSession, sf_dir: str) -> AuditFrame:
-    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    return AuditFrame(spark.sql(visits_sql("{customer}"), customer=customer).withColumnRenamed("rid", "_rid"), as_of=AS_OF)
+    return AuditFrame(made(spark, sf_dir, "visits", visits_sql("{customer}")), as_of=AS_OF)
 
 
 def intake_sql(customer: str) -> str:
@@ -85,5 +97,4 @@ def intake_sql(customer: str) -> str:
 
 
 def intake(spark: SparkSession, sf_dir: str) -> AuditFrame:
-    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    return AuditFrame(spark.sql(intake_sql("{customer}"), customer=customer).withColumnRenamed("rid", "_rid"), as_of=AS_OF, primary_key=["participant_id"])
+    return AuditFrame(made(spark, sf_dir, "intake", intake_sql("{customer}")), as_of=AS_OF, primary_key=["participant_id"])

@@ -28,10 +28,10 @@ def levels(f: AuditFrame, columns: list[str], most: int = 8) -> DataFrame:
 
 def quantiles(f: AuditFrame, columns: list[str]) -> DataFrame:
     """Exact quartiles with interpolation, over value counts."""
-    from ..operators.columns import code_free
+    from ..operators.columns import counted
+    from ..operators.ordered import quantiles as at_shares
 
-    v = f.vc.where(F.col("column").isin(columns) & F.col("x").isNotNull() & code_free(f))
-    q = v.groupBy("column").agg(F.percentile("x", F.array(*(F.lit(p) for p in (0.0, 0.25, 0.5, 0.75, 1.0))), F.col("n")).alias("q"))
+    q = at_shares(counted(f, columns), ["column"], [0.0, 0.25, 0.5, 0.75, 1.0])
     return q.select("column", *(F.col("q")[i].alias(n) for i, n in enumerate(("low", "q1", "median", "q3", "high"))))
 
 

@@ -11,7 +11,7 @@ import os
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 DELIMITERS = (",", "\t", ";", "|")
@@ -128,7 +128,7 @@ def read_delimited(spark: SparkSession, path: str, *, encoding: str | None = Non
     """``_rid``, the header's columns and ``_overflow``: short rows are filled, more fields are joined with `` | ``.
 
     Physical lines are rows. A footer is the tail from the first two lines in a row with a field count that isn't
-    the header's, if every line from there on has one; it is left out.
+    the header's, if every line from there on has one; it is left out. If a good line follows, nothing is.
     """
     if encoding is None:
         head = spark.read.format("binaryFile").load(path).select(F.expr(f"substring(content, 1, {HEAD})").alias("h")).first()
@@ -158,12 +158,37 @@ def read_delimited(spark: SparkSession, path: str, *, encoding: str | None = Non
     return rows.select(rank.alias("_rid"), *cells, over.alias("_overflow"))
 
 
+def stripped_footer_lines(spark: SparkSession, path: str, **options) -> int:
+    """How many lines :func:`read_delimited` leaves out as a footer."""
+    if file_format(path) != "delimited":
+        return 0
+    return read_delimited(spark, path, **{**options, "keep_footer": True}).count() - read_delimited(spark, path, **options).count()
+
+
 def footer_start(rows: DataFrame, width: int) -> int | None:
-    """Where a footer starts: behind the last line of the right width, if two lines or more are left there."""
-    fits = F.size("fields") == width
-    last = rows.agg(F.max(F.when(fits, F.col("line")))).first()[0]
-    tail = rows.where(F.col("line") > (-1 if last is None else last)).agg(F.count("*"), F.min("line")).first()
-    return tail[1] if tail[0] >= 2 else None
+    """Where a footer starts: the first two lines in a row of another width, if no line of the right width follows.
+
+    Behind the last good line there are only others, so the first such pair starts a footer just if none stands before
+    that line. Lines are compared with the next one by a window over ranges of line numbers, each with a line more.
+    """
+    odd = rows.select("line", (F.size("fields") == width).alias("fits"))
+    last = odd.agg(F.max(F.when(F.col("fits"), F.col("line")))).first()[0]
+    tail = odd.where(F.col("line") > (-1 if last is None else last)).agg(F.count("*"), F.min("line")).first()
+    if tail[0] < 2:
+        return None
+    return tail[1] if last is None or not pair_before(odd, last) else None
+
+
+def pair_before(odd: DataFrame, last: int, span: int = 1 << 20) -> bool:
+    """Whether two neighbouring lines before line ``last``, blank ones aside, both don't fit."""
+    part = F.floor(F.col("line") / span)
+    ranged = odd.where(F.col("line") < last).withColumn("part", part)
+    inside = ranged.withColumn("was", F.lag("fits").over(Window.partitionBy("part").orderBy("line")))
+    if inside.where("not fits and not was").limit(1).count():
+        return True
+    # neighbours on both sides of a border between ranges: one row a range
+    ends = ranged.groupBy("part").agg(F.min_by("fits", "line").alias("first"), F.max_by("fits", "line").alias("last")).orderBy("part").collect()
+    return any(not a.last and not b.first for a, b in zip(ends, ends[1:], strict=False))
 
 
 def stringify_value(v) -> str:
