@@ -4,8 +4,8 @@ A document and a benchmark item that share a seed of ``k`` tokens are tiled: the
 tokens, found by Karp-Rabin fingerprints, are marked again and again until none of ``k`` tokens is left. An
 item is leaked if its tiles cover enough of it, in whatever order they stand in the document.
 
-A benchmark of at most ``SMALL`` tokens, a size that is counted first, is sent to the tasks and documents are
-tiled where they are read. A larger one is joined by seeds, and only documents with a shared seed move.
+The benchmark is sent to the tasks in blocks of at most ``SMALL`` tokens, and documents are tiled where they are
+read: texts never move, and what is sent doesn't grow with either table.
 """
 
 from __future__ import annotations
@@ -15,69 +15,100 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrow
-from .scratch import Scratch, tasks
-from .shingles import WordHashes, windows
+from .scratch import Scratch
 
 K, COVERAGE = 5, 0.8
-#: Tokens of a benchmark that are sent to every task.
+#: Tokens of the blocks in which a benchmark is sent to every task.
 SMALL = 1_000_000
 #: ASCII letters in lower case; digits and bytes of other letters as they are; everything else a blank.
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
+#: Beyond ASCII: a letter of a script without blanks (Thai to Khmer, kana, Han) is a token, what is no letter, mark or number is a blank.
+SINGLE = regex.compile(r"[\p{Thai}\p{Lao}\p{Myanmar}\p{Khmer}\p{Hiragana}\p{Katakana}\p{Han}]")
+OTHER = regex.compile(r"[^\p{L}\p{M}\p{N}]+")
+#: An odd number and its inverse modulo 2**64.
 BASE = np.uint64(0x9E3779B97F4A7C15)
+INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 FOUND = pa.schema([("doc_id", pa.int64()), ("contaminated", pa.bool_()), ("n_items", pa.int64()), ("best_item", pa.int64()), ("coverage", pa.float64()), ("items", pa.string())])
 PAIRS = pa.schema([("row", pa.int64()), ("item_id", pa.int64()), ("coverage", pa.float64())])
 
 
 def tokens(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").translate(TABLE).split() if text else []
+    if not text:
+        return []
+    if not text.isascii():
+        text = SINGLE.sub(r" \g<0> ", OTHER.sub(" ", text))
+    return text.encode("utf-8", "surrogatepass").translate(TABLE).split()
 
 
 def fingerprints(codes: np.ndarray, k: int) -> np.ndarray:
-    """Karp-Rabin values of all windows of ``k`` codes, modulo 2**64."""
-    out = np.zeros(max(0, len(codes) - k + 1), np.uint64)
-    for i in range(k):
-        out = out * BASE + codes[i : i + len(out)].astype(np.uint64)
-    return out
+    """Karp-Rabin values of all windows of ``k`` codes, modulo 2**64, from those of all beginnings."""
+    if len(codes) < k:
+        return np.empty(0, np.uint64)
+    power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(codes), BASE)]), dtype=np.uint64)
+    back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(codes) - k, INVERSE)]), dtype=np.uint64)
+    upto = np.concatenate([[np.uint64(0)], np.cumsum(codes.astype(np.uint64) * power[:-1], dtype=np.uint64)])
+    return (upto[k:] - upto[:-k]) * back
+
+
+def free_starts(used: np.ndarray, length: int) -> np.ndarray:
+    """Where windows start that hold nothing marked."""
+    marks = np.concatenate([[0], np.cumsum(used)])
+    return np.flatnonzero(marks[length:] == marks[:-length]) if len(used) >= length else np.empty(0, np.int64)
+
+
+def longest_run(used: np.ndarray) -> int:
+    ends = np.flatnonzero(np.concatenate([[True], used, [True]]))
+    return int(np.diff(ends).max()) - 1
 
 
 def tile(doc: np.ndarray, item: np.ndarray, k: int = K) -> list[tuple[int, int, int]]:
-    """Tiles ``(start in doc, start in item, length)`` of two code arrays, longest first, none overlapping another."""
-    if len(doc) < k or len(item) < k:
-        return []
-    fd, fi = fingerprints(doc, k), fingerprints(item, k)
-    order = np.argsort(fi, kind="stable")
-    lo, hi = np.searchsorted(fi[order], fd, "left"), np.searchsorted(fi[order], fd, "right")
-    n = hi - lo
-    p = np.repeat(np.arange(len(fd)), n)
-    q = order[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-    same = np.ones(len(p), bool)
-    for i in range(k):
-        same &= doc[p + i] == item[q + i]
-    p, q = p[same], q[same]
-    at = np.lexsort((p, p - q))
-    p, q = p[at], q[at]
-    used_d, used_i = np.zeros(len(doc) + 1, bool), np.zeros(len(item) + 1, bool)
+    """Tiles ``(start in doc, start in item, length)`` of two code arrays, longest first, none overlapping another.
+
+    How long the longest match of unmarked tokens is is found by halving: there is one of a length just if a window of
+    the document has the fingerprint of one of the item. All matches of that length, by place, are then marked. Memory
+    is that of the fingerprints, and lengths that occur are at most the root of twice the tokens, whatever repeats.
+    """
+    used_d, used_i = np.zeros(len(doc), bool), np.zeros(len(item), bool)
     tiles: list[tuple[int, int, int]] = []
-    while len(p):
-        first = np.ones(len(p), bool)
-        first[1:] = (p[1:] != p[:-1] + 1) | (q[1:] != q[:-1] + 1)
-        start = np.flatnonzero(first)
-        length = np.diff(np.append(start, len(p))) + k - 1
-        longest = int(length.max())
-        for s in sorted(start[length == longest], key=lambda s: (p[s], q[s])):
-            a, b = int(p[s]), int(q[s])
-            if not used_d[a : a + longest].any() and not used_i[b : b + longest].any():
-                used_d[a : a + longest] = used_i[b : b + longest] = True
-                tiles.append((a, b, longest))
-        sums_d, sums_i = np.cumsum(used_d), np.cumsum(used_i)  # a window touches a mark if the sum moves within it
-        before = lambda sums, x: np.where(x > 0, sums[x - 1], 0)
-        free = (sums_d[p + k - 1] == before(sums_d, p)) & (sums_i[q + k - 1] == before(sums_i, q))
-        p, q = p[free], q[free]
-    return tiles
+
+    def common(length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        p, q = free_starts(used_d, length), free_starts(used_i, length)
+        fp, fq = fingerprints(doc, length)[p], fingerprints(item, length)[q]
+        hit = np.isin(fp, fq)
+        return p[hit], fp[hit], q, fq
+
+    most = len(item)
+    while True:
+        low, high = k - 1, min(most, longest_run(used_d), longest_run(used_i))
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if len(common(middle)[0]) else (low, middle - 1)
+        if low < k:
+            return tiles
+        most = low
+        p, fp, q, fq = common(low)
+        order = np.argsort(fq, kind="stable")
+        left, end = dict(zip(*np.unique(fq[order], return_index=True), strict=True)), len(order)
+        marked = False
+        for a, f in zip(p.tolist(), fp, strict=True):
+            if used_d[a : a + low].any():
+                continue
+            at = left[f]  # places in the item that were taken stay taken
+            while at < end and fq[order[at]] == f and used_i[q[order[at]] : q[order[at]] + low].any():
+                at += 1
+            left[f] = at
+            if at < end and fq[order[at]] == f:
+                b = int(q[order[at]])
+                if (doc[a : a + low] == item[b : b + low]).all():
+                    used_d[a : a + low] = used_i[b : b + low] = marked = True
+                    tiles.append((a, b, low))
+        if not marked:  # equal fingerprints of different windows
+            most = low - 1
 
 
 class Benchmark:
@@ -110,16 +141,21 @@ class Benchmark:
             return []
         # windows whose tokens are all known: k known places in a row
         start = known[: len(known) - self.k + 1][known[self.k - 1 :] - known[: len(known) - self.k + 1] == self.k - 1]
-        value = np.zeros(len(start), np.uint64)
-        for i in range(self.k):
-            value = value * BASE + codes[start + i].astype(np.uint64)
-        value = np.unique(value)
+        known_value = fingerprints(codes, self.k)[start]
+        value = np.unique(known_value)
         lo, hi = np.searchsorted(self.seeds, value, "left"), np.searchsorted(self.seeds, value, "right")
         near = sorted({int(o) for a, b in zip(lo[hi > lo], hi[hi > lo], strict=True) for o in self.owner[a:b]})
+        places = np.full(len(codes), -1, np.int64)
         out: dict[int, float] = {}
         for o in near:
             item_id, item = self.items[o]
-            share = sum(t[2] for t in tile(codes, item, self.k)) / len(item)
+            # only what windows shared with the item cover can be in a tile; the rest is as one token that no item has
+            places[:] = -1
+            for a in start[np.isin(known_value, fingerprints(item, self.k))]:
+                places[a : a + self.k] = codes[a : a + self.k]
+            gap = places < 0
+            kept = places[~(gap & np.concatenate([[False], gap[:-1]]))]
+            share = sum(t[2] for t in tile(kept, item, self.k)) / len(item)
             out[item_id] = max(share, out.get(item_id, 0.0))
         return sorted(out.items())
 
@@ -146,53 +182,32 @@ def _clean(bench: Benchmark, coverage: float, text: int):
     return run
 
 
-def _seeds(k: int, name: str):
-    schema = pa.schema([(name, pa.int64()), ("seed", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = WordHashes()
-        for b in arrow.slices(batches, 64):
-            rows = []
-            for key, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                found = tokens(text)
-                if len(found) >= k:
-                    codes = np.fromiter((seen[w.decode("utf-8", "surrogatepass")] for w in found), np.uint64, len(found))
-                    rows.extend((key, s) for s in np.unique(windows(codes, k)).view(np.int64).tolist())
-            yield arrow.batch(schema, rows)
-
-    return run, arrow.ddl(schema)
-
-
-def _tile_pairs(k: int):
+def _pairs(bench: Benchmark):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in arrow.slices(batches):
-            rows = []
-            for row, item_id, text, item in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                rows.append((row, item_id, max((c for _, c in Benchmark([(0, item)], k).leaks(text)), default=0.0)))
-            yield arrow.batch(PAIRS, rows)
+            yield arrow.batch(PAIRS, [(row, item, c) for row, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for item, c in bench.leaks(t)])
 
     return run
 
 
-def _small(benchmark: DataFrame, small: int) -> list[tuple[int, str]] | None:
-    """The benchmark's rows if it has at most ``small`` tokens, by its characters, else None."""
-    size = benchmark.agg(F.coalesce(F.sum(F.length("text") + 2), F.lit(0))).first()[0]
-    return [tuple(r) for r in benchmark.select(F.col("item_id").cast("long"), "text").where("text is not null").collect()] if size <= 2 * small else None
+def blocks(benchmark: DataFrame, small: int, k: int) -> Iterator[Benchmark]:
+    """The benchmark in blocks of about ``small`` tokens; one is on the driver at a time. An item is in one block, whole."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
+    size = items.agg(F.coalesce(F.sum(F.length("text") + 2), F.lit(0))).first()[0]
+    n = max(1, -(-size // (2 * small)))
+    for i in range(n):
+        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i)
+        yield Benchmark([tuple(r) for r in part.collect()], k)
 
 
-def _joined(docs: DataFrame, benchmark: DataFrame, k: int) -> DataFrame:
-    """``(doc_id, row, item_id, coverage)`` for documents and items that share a seed, by a join on seeds."""
-    scratch = Scratch(docs.sparkSession, "decontamination")
-    named = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
-    run, schema = _seeds(k, "item_id")
-    theirs = items.mapInArrow(run, schema).distinct()
-    run, schema = _seeds(k, "row")
-    ours = named.select("row", "text").where("text is not null").mapInArrow(run, schema)
-    pairs = scratch.save(ours.join(theirs, "seed").select("row", "item_id").distinct(), "pairs")
-    met = pairs.join(named.select("row", "text").dropDuplicates(["row"]), "row").join(items.withColumnRenamed("text", "item"), "item_id")
-    met = met.select("row", "item_id", "text", "item").repartition(tasks(docs.sparkSession), "row", "item_id")
-    return met.mapInArrow(_tile_pairs(k), arrow.ddl(PAIRS)).groupBy("row", "item_id").agg(F.max("coverage").alias("coverage"))
+def _leaks(docs: DataFrame, parts: list[Benchmark]) -> DataFrame:
+    """``(row, item_id, coverage)`` of documents and items that share a seed: a pass over the documents for each block."""
+    named = docs.select(F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row"), "text").where("text is not null")
+    scratch, found = Scratch(docs.sparkSession, "decontamination"), None
+    for i, bench in enumerate(parts):
+        part = scratch.save(named.mapInArrow(_pairs(bench), arrow.ddl(PAIRS)), f"leaks-{i}")
+        found = part if found is None else found.unionByName(part)
+    return found.groupBy("row", "item_id").agg(F.max("coverage").alias("coverage"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, coverage: float = COVERAGE, k: int = K, small: int = SMALL) -> DataFrame:
@@ -206,10 +221,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, coverage: float = CO
     clean ones; further columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = _small(benchmark, small)
-    if rows is not None:
-        return docs.mapInArrow(_tell(Benchmark(rows, k), coverage), arrow.ddl(FOUND))
-    best = _joined(docs, benchmark, k).groupBy("row").agg(
+    parts = list(blocks(benchmark, small, k))
+    if len(parts) == 1:
+        return docs.mapInArrow(_tell(parts[0], coverage), arrow.ddl(FOUND))
+    best = _leaks(docs, parts).groupBy("row").agg(
         F.min(F.struct((-F.col("coverage")).alias("less"), "item_id")).alias("best"), F.sort_array(F.collect_list(F.when(F.col("coverage") >= coverage, F.col("item_id")))).alias("hits")
     )
     out = docs.withColumn("row", F.xxhash64("doc_id", "text")).join(best, "row", "left")
@@ -218,10 +233,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, coverage: float = CO
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, *, coverage: float = COVERAGE, k: int = K, small: int = SMALL) -> DataFrame:
-    """Rows of ``docs``, all columns, that hold no item of ``benchmark``."""
-    rows = _small(benchmark, small)
-    if rows is not None:
-        return docs.mapInArrow(_clean(Benchmark(rows, k), coverage, docs.columns.index("text")), docs.schema)
-    plain = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
-    bad = _joined(plain, benchmark, k).where(F.col("coverage") >= coverage).select("row").distinct()
-    return docs.withColumn("__row", F.xxhash64(F.col("doc_id").cast("long"), "text")).join(bad, F.col("__row") == bad.row, "left_anti").drop("__row")
+    """Rows of ``docs``, all columns, that hold no item of ``benchmark``; cases as in :func:`decontaminate`."""
+    parts = list(blocks(benchmark, small, k))
+    if len(parts) == 1:
+        return docs.mapInArrow(_clean(parts[0], coverage, docs.columns.index("text")), docs.schema)
+    bad = _leaks(docs, parts).where(F.col("coverage") >= coverage).select(F.col("row").alias("__leak")).distinct()
+    return docs.join(bad, F.xxhash64(docs["doc_id"].cast("long"), docs["text"]) == F.col("__leak"), "left_anti")

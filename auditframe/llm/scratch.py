@@ -1,33 +1,15 @@
 """Shared helpers: intermediate tables in the folder the cluster shares, and connected components.
 
 Intermediate results are Parquet tables below ``spark.checkpoint.dir``. They cut lineage, survive a
-lost executor and are readable by every executor and the driver.
+lost executor and are readable by every executor and the driver. What an operator leaves goes when the process ends.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one only in local mode without that setting."""
-    conf = spark.sparkContext.getConf()
-    found = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if jvm_dir.isDefined():
-        return jvm_dir.get().rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    made = tempfile.mkdtemp(prefix="auditframe-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    spark.sparkContext.setCheckpointDir(made)
-    return made
+from ..plans.shared import delete, new_path
 
 
 class Scratch:
@@ -35,7 +17,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, operator: str) -> None:
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/{operator}-{uuid.uuid4().hex}"
+        self.root = new_path(spark, operator)
 
     def save(self, frame: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -43,10 +25,8 @@ class Scratch:
         return self.spark.read.schema(frame.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            delete(self.spark, f"{self.root}/{name}")
 
 
 def tasks(spark: SparkSession) -> int:
