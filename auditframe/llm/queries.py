@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,9 @@ from pyspark.sql import functions as F
 from . import chat, decontamination, embedding_dedup, language_id, minhash, mixing, pii, substring_dedup, token_files, toxicity
 from .scratch import Scratch
 
+#: Scripts without blanks, as in the operator.
+UNSPACED = r"\x{0e00}-\x{0eff}\x{1000}-\x{109f}\x{1780}-\x{17ff}\x{3005}-\x{3007}\x{3040}-\x{30ff}\x{3400}-\x{9fff}\x{f900}-\x{faff}\x{20000}-\x{3ffff}"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -61,36 +65,48 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.dedup_units(table(spark, sf_dir, "documents"), kind="sentence")
-
-
-def op2_substring_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With short sentences, short lines and scripts without blanks, which ``OP2_SQL`` leaves out."""
+    """Runs of sentences and whole lines: shared passages stand inside lines, where hashes of lines alone find none of them."""
     return substring_dedup.dedup_units(table(spark, sf_dir, "documents"), kind="passage")
 
 
-OP2_SQL = r"""
-with cut as (
-  select doc_id, string_split(regexp_replace(regexp_replace(text, '([.!?][ \t]+)', '\1' || chr(31), 'g'), '(\n)', '\1' || chr(31), 'g'), chr(31)) as pieces
-  from documents where text is not null),
-units as (select doc_id, unnest(pieces) as piece, generate_subscripts(pieces, 1) as unit, len(pieces) as n from cut),
+def op2_sql() -> str:
+    """The same in windows: units are cut at their ends, numbered over the words before them, and runs are ranges of words."""
+    stops, wide, close, lines, single = (re.sub(r"\\u([0-9a-f]{4})", r"\\x{\1}", x) for x in (substring_dedup.STOPS, substring_dedup.WIDE, substring_dedup.CLOSE, substring_dedup.LINES, UNSPACED))
+    blank = r"[ \t\x{3000}]"
+    end = rf"([{stops}][{stops}{close}]*{blank}+|[{wide}][{stops}{wide}{close}]*{blank}*|\r\n|[{lines}])"
+    close, end, single = (x.replace("'", "''") for x in (close, end, single))
+    bare = rf"regexp_replace(piece, '({blank}+|\r\n|[{lines}])$', '')"
+    return rf"""
+with cut as (select doc_id, string_split(regexp_replace(text, '{end}', '\1' || chr(31), 'g'), chr(31)) as pieces from documents where text is not null),
+units as (select doc_id, unnest(pieces) as piece, generate_subscripts(pieces, 1) as unit from cut),
 placed as (
-  select *, regexp_replace(piece, '(([.!?])[ \t]+|\n)$', '\2') as raw,
-         cast(coalesce(sum(length(piece)) over (partition by doc_id order by unit rows between unbounded preceding and 1 preceding), 0) as bigint) as start,
-         lower(trim(regexp_replace(regexp_replace(piece, '(([.!?])[ \t]+|\n)$', '\2'), '[\x20\x09-\x0D]+', ' ', 'g'))) as norm
+  select doc_id, unit, piece, case when regexp_matches(piece, '{end}$') then {bare} else piece end as raw, regexp_matches(piece, '[{lines}]$') as ends_line,
+         cast(coalesce(sum(length(piece)) over (partition by doc_id order by unit rows between unbounded preceding and 1 preceding), 0) as bigint) as start
   from units),
-ranked as (
-  select *, case when norm <> '' and len(string_split(norm, ' ')) >= 5 then cast(row_number() over (partition by norm order by doc_id, unit) > 1 as int) end as again from placed),
+normal as (select *, lower(trim(regexp_replace(raw, '[\x20\x09-\x0D]+', ' ', 'g'))) as norm, coalesce(sum(cast(ends_line as int)) over (partition by doc_id order by unit rows between unbounded preceding and 1 preceding), 0) as line from placed),
+said as (
+  select doc_id, unit, line, norm, len(regexp_extract_all(norm, '[{single}]|[^ {single}]+')) as size, row_number() over (partition by doc_id order by unit) as i,
+         cast(sum(len(regexp_extract_all(norm, '[{single}]|[^ {single}]+'))) over w as bigint) as upto, cast(sum(length(norm) + 1) over w as bigint) as chars
+  from normal where norm <> '' window w as (partition by doc_id order by unit rows between unbounded preceding and current row)),
+texts as (select doc_id, string_agg(norm, ' ' order by unit) as whole from said group by 1),
+onward as (select a.doc_id, a.i, a.chars - length(a.norm) - 1 as beg, b.chars - 1 as fin, b.i as j from said a asof join said b on a.doc_id = b.doc_id and a.upto - a.size + 5 <= b.upto),
+backward as (select b.doc_id, a.i, a.chars - length(a.norm) - 1 as beg, b.chars - 1 as fin, b.i as j from said b asof join said a on a.doc_id = b.doc_id and b.upto - 5 >= a.upto - a.size),
+short as (select doc_id, min(i) as i, min(chars - length(norm) - 1) as beg, max(chars) - 1 as fin, max(i) as j from said group by doc_id, line having sum(size) < 5),
+runs as (select distinct doc_id, i, j, beg, fin from (select * from onward union all select * from backward union all select * from short) r),
+spoken as (select doc_id, i, j, substr(whole, cast(beg + 1 as bigint), cast(fin - beg as bigint)) as digest from runs join texts using (doc_id)),
+ranked as (select doc_id, i, j, row_number() over (partition by digest order by doc_id, i) as r from spoken),
+gone as (select distinct s.doc_id, s.unit from ranked r join said s on s.doc_id = r.doc_id and s.i between r.i and r.j where r.r > 1),
+told as (select n.*, g.unit is not null as out, n.norm = '' as blank from normal n left join gone g on g.doc_id = n.doc_id and g.unit = n.unit),
 near as (
-  select *, last_value(again ignore nulls) over (partition by doc_id order by unit rows between unbounded preceding and current row) as before,
-         first_value(again ignore nulls) over (partition by doc_id order by unit rows between current row and unbounded following) as after
-  from ranked),
-told as (select *, coalesce(case when again is null then before = 1 and after = 1 else again = 1 end, false) as gone from near),
-ends as (select *, max(unit) filter (not gone) over (partition by doc_id) as last_kept from told),
+  select *, last_value(case when not blank then cast(out as int) end ignore nulls) over (partition by doc_id order by unit rows between unbounded preceding and current row) as before,
+         first_value(case when not blank then cast(out as int) end ignore nulls) over (partition by doc_id order by unit rows between current row and unbounded following) as after
+  from told),
+dropped as (select *, coalesce(case when blank then before = 1 and after = 1 else out end, false) as drop_it from near),
+ends as (select *, max(unit) filter (not drop_it) over (partition by doc_id) as last_kept, max(unit) over (partition by doc_id) as last_unit, max(case when drop_it then unit end) over (partition by doc_id) as last_drop from dropped),
 done as (
-  select doc_id, count(*) as n_units, count(*) filter (where gone) as n_removed,
-         coalesce(string_agg(start || ':' || (start + length(raw)), ',' order by unit) filter (where gone), '') as removed_spans,
-         coalesce(string_agg(case when unit = last_kept then raw else piece end, '' order by unit) filter (where not gone), '') as text
+  select doc_id, count(*) as n_units, count(*) filter (where drop_it) as n_removed,
+         coalesce(string_agg(start || ':' || (start + length(raw)), ',' order by unit) filter (where drop_it), '') as removed_spans,
+         coalesce(string_agg(case when unit = last_kept and last_drop = last_unit then raw else piece end, '' order by unit) filter (where not drop_it), '') as text
   from ends group by doc_id)
 select d.doc_id, coalesce(n_units, 0) as n_units, coalesce(n_removed, 0) as n_removed, coalesce(removed_spans, '') as removed_spans, x.text
 from documents d left join done x using (doc_id)
@@ -135,7 +151,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_pii": op10_pii,
-    "op2_substring_dedup_whole": op2_substring_dedup_whole,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_substring_dedup": OP2_SQL, "op3_mixing": OP3_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_substring_dedup": op2_sql(), "op3_mixing": OP3_SQL}

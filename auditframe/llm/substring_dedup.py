@@ -1,4 +1,4 @@
-"""Substring dedup by hashing lines, paragraphs, the sentences of lines, or runs of sentences.
+"""Substring dedup by hashing lines, paragraphs, or runs of the sentences of lines.
 
 Units are hashed where the text is read; only ``(document, unit, last unit, digest)`` moves. Earliest occurrences come
 from a pre-aggregated minimum per digest, so a line that half the corpus shares costs one row per task.
@@ -18,7 +18,7 @@ from . import arrow
 from .scratch import Scratch
 
 #: Separators of the unit kinds, as patterns.
-SEPARATORS = {"line": r"\n", "sentence": r"(?<=[.!?])[ \t]+|\n", "paragraph": r"\n[^\S\n]*(?:\n[^\S\n]*)+"}
+SEPARATORS = {"line": r"\n", "paragraph": r"\n[^\S\n]*(?:\n[^\S\n]*)+"}
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
 #: Words, a letter of a script without blanks (Thai to Khmer, kana, Han) counting as one.
 UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
@@ -101,7 +101,7 @@ def _units(kind: str, min_words: int):
                 if kind == "passage":
                     compared = runs(text, spans, min_words)
                 else:
-                    compared = {(n, n): u for n, (a, b) in enumerate(spans) if is_long(u := normal(text[a:b]), min_words)}
+                    compared = {(n, n): u for n, (a, b) in enumerate(spans) if (u := normal(text[a:b]))}
                 for (n, last), unit in compared.items():
                     digest = xxhash.xxh3_128_intdigest(unit.encode("utf-8", "surrogatepass"))
                     rows.append((doc, version, n, last, signed(digest >> 64), signed(digest & (1 << 64) - 1)))
@@ -110,27 +110,22 @@ def _units(kind: str, min_words: int):
     return run
 
 
-def is_long(unit: str, min_words: int) -> bool:
-    u = normal(unit)
-    return bool(u) and u.count(" ") + 1 >= min_words
-
-
-def with_short_ones(text: str, spans: list[tuple[int, int]], gone: list[int], min_words: int) -> set[int]:
-    """Removed units, and the short ones between two of them with nothing kept between."""
-    drop, short, after_gone = set(gone), [], False
+def with_blank_ones(text: str, spans: list[tuple[int, int]], gone: list[int]) -> set[int]:
+    """Removed units, and units without a word that nothing but removed ones stands around: they are all separator."""
+    drop, blank, after_gone = set(gone), [], False
     for n, (a, b) in enumerate(spans):
         if n in drop:
             if after_gone:
-                drop.update(short)
-            short, after_gone = [], True
-        elif after_gone and not is_long(text[a:b], min_words):
-            short.append(n)
+                drop.update(blank)
+            blank, after_gone = [], True
+        elif after_gone and not normal(text[a:b]):
+            blank.append(n)
         else:
-            short, after_gone = [], False
+            blank, after_gone = [], False
     return drop
 
 
-def _cut(kind: str, min_words: int):
+def _cut(kind: str):
     schema = pa.schema([("doc_id", pa.int64()), ("n_units", pa.int64()), ("n_removed", pa.int64()), ("removed_spans", pa.string()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +139,7 @@ def _cut(kind: str, min_words: int):
                 if not gone:
                     rows.append((doc, len(spans), 0, "", text))
                     continue
-                out, drop = [], with_short_ones(text, spans, gone, min_words)
+                out, drop = [], with_blank_ones(text, spans, gone)
                 for n, (a, b) in enumerate(spans):
                     if n not in drop:  # a unit keeps the separator behind it
                         out.append(text[a : spans[n + 1][0] if n + 1 < len(spans) else b])
@@ -161,19 +156,19 @@ def _cut(kind: str, min_words: int):
 def dedup_units(docs: DataFrame, *, kind: str = "line", min_words: int = 5) -> DataFrame:
     """Each document of ``docs(doc_id, text)`` without the units that occur earlier in the corpus.
 
-    A unit is a line, a paragraph, or a sentence of a line: what ends in ``.``, ``!`` or ``?`` before a blank.
-    Sentences find passages that repeat inside lines. ``passage`` compares runs of sentences, so that short
-    ones count too: what repeats in ``min_words`` words or more goes, wherever its sentences end, and so does a
-    shorter line that repeats as a whole; a letter of a script without blanks is a word. Its sentences also end at
-    marks of other scripts, and after quotes and brackets that close behind a mark. In the other kinds units of fewer than ``min_words`` words aren't compared;
-    they go if they stand between two that go, with nothing that stays between, and stay otherwise. Two units
-    are the same if they agree in lower case with white space runs as one blank. Of equal units the earliest
-    stays, by doc_id (null last), then by the hash of the text, then by place in the text.
-
-    Returns ``doc_id, n_units, n_removed, removed_spans, text``: removed_spans has the code-point offsets in the
-    original text as ``start:end``, comma-joined; text is what is left, or null for a null text. Defined
-    cases: an empty text is one empty unit and stays; rows that repeat doc_id and text are one document and
-    lose the same units; an empty table gives no rows; further columns are ignored.
+    A unit is a line or a paragraph, and every one that has a word is compared. ``passage`` finds what repeats inside
+    lines: its units are the sentences of lines, which end at sentence marks, with what closes behind them, before a
+    blank, and at marks of other scripts. What is compared there are the shortest runs of ``min_words`` words or more
+    from each sentence on and up to each sentence, so that a short sentence goes with what stands around it, and whole
+    lines of fewer words; a letter of a script without blanks is a word. Two are the same if they agree in lower case
+    with white space runs as one blank. Of equal ones the earliest stays, by doc_id (null last), then by the hash of the
+    text, then by place in the text. Nothing goes that isn't said earlier, but units without a word between removed ones.
+
+    Returns ``doc_id, n_units, n_removed, removed_spans, text``: n_units counts all units and n_removed those that went,
+    blank ones included; removed_spans has the code-point offsets in the original text as ``start:end``, comma-joined;
+    text is what is left, or null for a null text. Defined cases: an empty text is one empty unit and stays; rows that
+    repeat doc_id and text are one document and lose the same units; an empty table gives no rows; further columns are
+    ignored.
     """
     scratch = Scratch(docs.sparkSession, "substring-dedup")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -190,5 +185,5 @@ def dedup_units(docs: DataFrame, *, kind: str = "line", min_words: int = 5) -> D
     gone = gone.groupBy("doc_id", "version").agg(F.sort_array(F.collect_set("unit")).alias("gone")).alias("g")
     n = named.alias("n")
     out = n.join(gone, F.col("n.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("n.version") == F.col("g.version")), "left")
-    run, schema = _cut(kind, 1 if kind == "passage" else min_words)
+    run, schema = _cut(kind)
     return out.select("n.doc_id", "text", "gone").mapInArrow(run, schema)
