@@ -8,31 +8,34 @@ presence matrix of a batch times that of the landmarks, times the coefficients.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrow
-from .sampling import CLASSES, sample_ids
+from .sampling import sample_ids
 
 ORDERS, BINS = (1, 2, 3, 4), 1 << 14
-#: Texts a language that a model is fitted on, of those the landmarks, and characters a language.
-SAMPLE, LANDMARKS, SAMPLE_CHARS = 400, 24, 6_000_000
+#: Texts a language that a model is fitted on, of those the landmarks, and characters: a language's, and all together.
+SAMPLE, LANDMARKS, SAMPLE_CHARS, ALL_CHARS = 400, 24, 6_000_000, 60_000_000
+#: Languages that can be learnt, and landmarks of all; with many languages each has fewer.
+LANGUAGES, ALL_LANDMARKS = 2000, 2000
 RIDGE = 1e-2
-LETTER = re.compile(r"[^\W\d_]")
-NOT_LETTERS = re.compile(r"[\W\d_]+")
+LETTER = regex.compile(r"\p{L}")
+NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
+#: Characters of the pieces that long texts are compared in, so that the bins of a long text don't fill up.
+PIECE = 20_000
 SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
 UND = "und"
 
 
-def presence(text: str, out: np.ndarray) -> None:
-    """Marks the bins of the n-grams of a text: letters in lower case, words apart by one blank."""
-    clean = " " + NOT_LETTERS.sub(" ", text.lower()).strip() + " "
+def presence(clean: str, out: np.ndarray) -> None:
+    """Marks the bins of the n-grams of a piece of text."""
     c = np.frombuffer(clean.encode("utf-32-le", "surrogatepass"), np.uint32)
     h = np.zeros(len(c), np.uint32)
     for n in ORDERS:
@@ -42,18 +45,24 @@ def presence(text: str, out: np.ndarray) -> None:
         out[(h * np.uint32(0x85EBCA6B)) >> np.uint32(18)] = 1
 
 
-def presences(texts: list[str]) -> np.ndarray:
+def spectra(texts: list[str]) -> np.ndarray:
+    """A row a text: letters in lower case, words apart by one blank; presences over their norm, the mean over pieces.
+
+    The product of two rows is the kernel: that of two pieces, averaged over all pairs of pieces of two texts.
+    """
     out = np.zeros((len(texts), BINS), np.float32)
     for row, text in zip(out, texts, strict=True):
-        presence(text, row)
+        clean = " " + NOT_LETTERS.sub(" ", text.lower()).strip() + " "
+        n = -(-len(clean) // PIECE)
+        for i in range(n):
+            one = row if n == 1 else np.zeros(BINS, np.float32)
+            presence(clean[len(clean) * i // n : len(clean) * (i + 1) // n], one)
+            one /= np.sqrt(max(one.sum(), 1)) * n
+            if n > 1:
+                row += one
     return out
 
 
-def normal(x: np.ndarray) -> np.ndarray:
-    """Rows over their norms: the kernel of two rows is then their product."""
-    return x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
-
-
 @dataclass
 class Kernel:
     languages: list[str]
@@ -63,7 +72,7 @@ class Kernel:
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """One column a language: the regression's values as shares by a softmax."""
-        k = normal(presences(texts)) @ self.landmarks.T
+        k = spectra(texts) @ self.landmarks.T
         z = 8 * (k @ self.whiten @ self.coefficients)
         e = np.exp(z - z.max(1, keepdims=True))
         return e / e.sum(1, keepdims=True)
@@ -71,10 +80,11 @@ class Kernel:
 
 def fit(texts: list[str], languages: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Kernel:
     names = sorted(set(languages))
+    landmarks = max(1, min(landmarks, ALL_LANDMARKS // len(names)))
     y = np.array([names.index(v) for v in languages])
     picked = np.concatenate([np.flatnonzero(y == i)[:landmarks] for i in range(len(names))])
-    marks = normal(presences([texts[i] for i in picked]))
-    k = np.concatenate([normal(presences(texts[i : i + 256])) @ marks.T for i in range(0, len(texts), 256)])
+    marks = spectra([texts[i] for i in picked])
+    k = np.concatenate([spectra(texts[i : i + 256]) @ marks.T for i in range(0, len(texts), 256)])
     value, vector = np.linalg.eigh((marks @ marks.T).astype(float))
     use = value > 1e-6 * value[-1]
     whiten = vector[:, use] / np.sqrt(value[use])
@@ -91,13 +101,14 @@ def held_out(doc_id):
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def learn(docs: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS, languages: int = CLASSES) -> Kernel | None:
+def learn(docs: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS, languages: int = LANGUAGES) -> Kernel | None:
     """Fits on at most ``sample`` texts of each language, by a hash of doc_id, of those that aren't held out; over ``languages`` languages are a ValueError."""
-    open_ = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    ids = sample_ids(open_.select("lang", "doc_id", F.length("text").alias("n")), "lang", sample, chars, 5, languages)
+    open_ = docs.select("doc_id", "lang", "text").where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    ids = sample_ids(open_.select("lang", "doc_id", F.length("text").alias("n")), "lang", sample, chars, 5, languages, ALL_CHARS)
     if not ids:
         return None
-    rows = open_.where(F.col("doc_id").isin(list({k[1] for k in ids}))).groupBy("lang", "doc_id").agg(F.min("text").alias("text")).collect()
+    picked = docs.sparkSession.createDataFrame(sorted({(k[1],) for k in ids}), "__id long")  # as many as the sample's bounds allow
+    rows = open_.join(F.broadcast(picked), F.col("doc_id") == F.col("__id")).groupBy("lang", "doc_id").agg(F.min("text").alias("text")).collect()
     rows = sorted((r for r in rows if (r.lang, r.doc_id) in ids and LETTER.search(r.text)), key=lambda r: (r.lang, r.doc_id))
     order = np.random.default_rng(9).permutation(len(rows))
     return fit([rows[i].text for i in order], [rows[i].lang for i in order]) if rows else None
@@ -118,7 +129,7 @@ def _score(model: Kernel | None):
     return run
 
 
-def identify(docs: DataFrame, *, languages: int = CLASSES) -> DataFrame:
+def identify(docs: DataFrame, *, languages: int = LANGUAGES) -> DataFrame:
     """The language of each row of ``docs(doc_id, text, lang)``.
 
     Learns from text and non-null lang of rows that aren't :func:`held_out`, all languages; more than ``languages``

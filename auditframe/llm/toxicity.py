@@ -2,7 +2,8 @@
 
 Features are the presence of 4- to 6-grams inside words, word ends marked. The model is one weight a feature,
 shared by all thresholds, and one threshold a grade: P(grade > j) = s(w.x - t_j). It is fitted on a bounded
-sample of labelled documents; scoring reads every whole text.
+sample of labelled documents; scoring reads every whole text. A document is toxic if a grade above the first is
+likelier than not.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from . import arrow
 from .sampling import sample_ids
 
 LETTERS = re.compile(r"[^\W\d_]+")
+#: Grades that can be learnt.
+GRADES = 20
 #: Labelled documents of each grade, and characters of all, that a model is fitted on; features it keeps.
 SAMPLE, SAMPLE_CHARS, FEATURES = 1500, 16_000_000, 4000
 SCORES = pa.schema([("doc_id", pa.int64()), ("severity", pa.float64()), ("grade", pa.int32()), ("toxic", pa.bool_())])
@@ -28,6 +31,8 @@ SCORES = pa.schema([("doc_id", pa.int64()), ("severity", pa.float64()), ("grade"
 KEPT, PIECE = 100_000, 200
 #: Texts that an n-gram has to be in to be a feature; bins that n-grams are counted in first.
 LEAST_TEXTS, BINS = 3, 1 << 22
+#: Texts of each grade held out, without which thresholds are fitted on the texts that the weights are fitted on.
+LEAST_HELD = 20
 #: Log odds from which a feature counts.
 LEAST_ODDS = 1.5
 
@@ -98,8 +103,11 @@ class Ordinal:
     weights: np.ndarray
     thresholds: np.ndarray
     grades: list[int]
-    #: z from which a document counts as toxic.
-    cut: float = np.inf
+
+    @property
+    def cut(self) -> float:
+        """z from which a grade above the first is likelier than not."""
+        return float(self.thresholds[0]) if len(self.thresholds) else np.inf
 
     def above(self, z: np.ndarray) -> np.ndarray:
         """P(grade > j) for each threshold j."""
@@ -114,72 +122,76 @@ class Ordinal:
         return np.array(self.grades)[(self.above(z) >= 0.5).sum(1)]
 
 
+def slopes(z: np.ndarray, y: np.ndarray, t: np.ndarray, weigh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the mean negative log likelihood by each z and by each threshold."""
+    n, k = len(z), len(t)
+    rows = np.arange(n)
+    p = 1 / (1 + np.exp(-np.clip(z[:, None] - t[None, :], -60, 60)))
+    pad = np.concatenate([np.ones((n, 1)), p, np.zeros((n, 1))], 1)
+    steep = np.concatenate([np.zeros((n, 1)), p * (1 - p), np.zeros((n, 1))], 1)
+    mass = np.maximum(pad[rows, y] - pad[rows, y + 1], 1e-9)
+    low, high = steep[rows, y] / mass * weigh, steep[rows, y + 1] / mass * weigh
+    gt = np.zeros(k)
+    np.add.at(gt, np.maximum(y - 1, 0), np.where(y > 0, low, 0) / n)
+    np.add.at(gt, np.minimum(y, k - 1), np.where(y < k, -high, 0) / n)
+    return (high - low) / n, gt
+
+
 def fit(texts: list[str], labels: list[int], *, features: int = FEATURES, rounds: int = 600, ridge: float = 1e-4) -> Ordinal:
-    """Fits by gradient steps with momentum on the mean negative log likelihood. One grade alone gives no thresholds."""
+    """Fits by gradient steps with momentum on the mean negative log likelihood. One grade alone gives no thresholds.
+
+    Every fifth text is held out of the weights, and thresholds are fitted again on those, where the weights haven't
+    seen the texts. Without enough of each grade the first thresholds stay.
+    """
     grades = sorted(set(labels))
     y = np.array([grades.index(v) for v in labels])
-    top, rest = feature_counts(texts, y > 0)
-    n1, n0 = max(1, int((y > 0).sum())), max(1, int((y == 0).sum()))
+    held = np.zeros(len(y), bool)
+    for v in range(len(grades)):
+        mine = np.flatnonzero(y == v)
+        held[mine[4::5]] = len(mine) >= 5 * LEAST_HELD
+    k = len(grades) - 1
+    use = np.flatnonzero(~held)
+    top, rest = feature_counts([texts[i] for i in use], y[use] > 0)
+    n1, n0 = max(1, int((y[use] > 0).sum())), max(1, int((y[use] == 0).sum()))
     odds = {g: np.log((c + 0.5) / (n1 + 1) / ((rest[g] + 0.5) / (n0 + 1))) for g, c in top.items()}
     # features that tell graded from ungraded documents apart, those in most graded ones first
     names = sorted(sorted(g for g in odds if odds[g] >= LEAST_ODDS), key=lambda g: -top[g] * odds[g])[:features]
     del top, rest, odds
     index = {g: i for i, g in enumerate(names)}
-    x = np.zeros((len(texts), len(names)), np.float32)
-    lookup = Hits(index)
-    for i, t in enumerate(texts):
-        x[i, list(lookup.of(t))] = 1
-    k, n = len(grades) - 1, len(texts)
     w, t = np.zeros(len(names)), np.linspace(0.5, 0.5 + k - 1, k) if k else np.zeros(0)
-    model = Ordinal(index, w, t, grades)
     if not k or not len(names):
-        return model
-    over = (y[:, None] > np.arange(k)[None, :]).astype(float)
+        return Ordinal(index, w, t, grades)
+    lookup = Hits(index)
+    x = np.zeros((len(texts), len(names)), np.float32)
+    for i, text in enumerate(texts):
+        x[i, list(lookup.of(text))] = 1
     # grades count alike, however many documents they have
-    weigh = np.array([n / (len(grades) * (y == v).sum()) for v in range(len(grades))])[y]
+    share = lambda rows: np.array([len(rows) / (len(grades) * max(1, (y[rows] == v).sum())) for v in range(len(grades))])[y[rows]]
+    seen, weigh = x[use], share(use)
     vw, vt = np.zeros_like(w), np.zeros_like(t)
-    step = 1.0 / max(1.0, float(np.median(x.sum(1))) ** 0.5)
+    step = 1.0 / max(1.0, float(np.median(seen.sum(1))) ** 0.5)
     for _ in range(rounds):
-        z = x @ w.astype(np.float32)
-        p = 1 / (1 + np.exp(-np.clip(z[:, None] - t[None, :], -60, 60)))
-        pad = np.concatenate([np.ones((n, 1)), p, np.zeros((n, 1))], 1)
-        lo, hi = pad[np.arange(n), y], pad[np.arange(n), y + 1]
-        mass = np.maximum(lo - hi, 1e-9)
-        slope = p * (1 - p)
-        spad = np.concatenate([np.zeros((n, 1)), slope, np.zeros((n, 1))], 1)
-        dlo, dhi = spad[np.arange(n), y] / mass * weigh, spad[np.arange(n), y + 1] / mass * weigh
-        gz = -(dlo - dhi) / n
-        gt = np.zeros(k)
-        np.add.at(gt, np.maximum(y - 1, 0), np.where(y > 0, dlo, 0) / n)
-        np.add.at(gt, np.minimum(y, k - 1), np.where(y < k, -dhi, 0) / n)
-        gw = (x.T @ gz.astype(np.float32)) + ridge * w
-        vw, vt = 0.9 * vw - step * gw, 0.9 * vt - step * gt
+        gz, gt = slopes(seen @ w.astype(np.float32), y[use], t, weigh)
+        vw, vt = 0.9 * vw - step * (seen.T @ gz.astype(np.float32) + ridge * w), 0.9 * vt - step * gt
         w, t = w + vw, np.sort(t + vt)
-    model.weights, model.thresholds = w, t
-    model.cut = best_cut(x @ w, y > 0)
-    return model
-
-
-def best_cut(z: np.ndarray, graded: np.ndarray) -> float:
-    """The middle of the widest gap among those that part graded from ungraded with the fewest errors, classes counting alike."""
-    order = np.argsort(z, kind="stable")
-    z, graded = z[order], graded[order]
-    missed = np.concatenate([[0], np.cumsum(graded)]) / max(1, graded.sum())
-    false = 1 - np.concatenate([[0], np.cumsum(~graded)]) / max(1, (~graded).sum())
-    ends = np.concatenate([[z[0] - 1], z, [z[-1] + 1]])
-    gap = ends[1:] - ends[:-1]
-    loss = np.where(gap > 0, missed + false, np.inf)
-    best = np.flatnonzero(loss <= loss.min() + 1e-12)
-    at = best[np.argmax(gap[best])]
-    return float((ends[at] + ends[at + 1]) / 2)
+    if all((held & (y == v)).any() for v in range(len(grades))):
+        rows = np.flatnonzero(held)
+        z, weigh, vt = x[rows] @ w, share(rows), np.zeros_like(t)
+        for _ in range(2 * rounds):
+            vt = 0.9 * vt - slopes(z, y[rows], t, weigh)[1]
+            t = np.sort(t + vt)
+    return Ordinal(index, w, t, grades)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> tuple[list[str], list[int]]:
     """At most ``sample`` labelled texts of each grade and ``chars`` characters of each, by a hash of doc_id."""
     picked = labels.where("grade is not null and doc_id is not null").select("doc_id", "grade").groupBy("doc_id").agg(F.max("grade").alias("grade"))
     size = docs.where("text is not null").select("doc_id", F.length("text").alias("n")).groupBy("doc_id").agg(F.max("n").alias("n"))
-    ids = {doc: grade for grade, doc in sample_ids(picked.join(size, "doc_id"), "grade", sample, chars, 11)}
-    rows = docs.where(F.col("doc_id").isin(list(ids)) & F.col("text").isNotNull()).groupBy("doc_id").agg(F.min("text").alias("text")).collect() if ids else []
+    ids = {doc: grade for grade, doc in sample_ids(picked.join(size, "doc_id"), "grade", sample, chars, 11, GRADES, GRADES * chars)}
+    if not ids:
+        return [], []
+    picked = docs.sparkSession.createDataFrame([(i,) for i in sorted(ids)], "__id long")  # as many as the sample's bounds allow
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("__id")).where("text is not null").groupBy("doc_id").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: r.doc_id)
     return [r.text for r in rows], [ids[r.doc_id] for r in rows]
 
@@ -216,7 +228,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Severity of each row of ``docs(doc_id, text)``, learnt from ``labels(doc_id, grade)``.
 
     Returns ``doc_id, severity, grade, toxic``: the expected grade, the likeliest side of each threshold, and
-    whether the document is past the cut that parts graded from ungraded ones in the sample. Defined cases:
+    whether that is above the first grade. Defined cases:
     a null or empty text has no features and gets the severity of z = 0; repeated rows get equal scores; with
     no usable labels every document has severity 0 and is not toxic; an empty table gives no rows; further
     columns are ignored; a label without a document and a null grade count for nothing.

@@ -17,28 +17,43 @@ TOKENIZER = "byte_bpe_50k.json"
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents past the cut between graded and ungraded ones go."""
+    """Documents that a grade above the first is likelier than not of go.
+
+    A null or empty text stays, and so does everything without usable labels; rows that repeat a doc_id are judged each.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.without_toxic(docs, toxicity.grades_from(labels))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of shingle similarity 0.8 or more stays, the one with the smallest doc_id."""
+    """One document of each group of shingle similarity 0.8 or more stays, the one with the smallest doc_id.
+
+    Null, empty and blank texts and null doc_ids stay; rows that repeat a doc_id that stays, stay.
+    """
     return minhash.without_near_duplicates(docs, percent=80)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with tiles over 0.8 or more of a benchmark item go."""
+    """Documents with tiles over 0.8 or more of a benchmark item go.
+
+    Null and empty texts stay; null or short items are no evidence, and without items all stays.
+    """
     return decontamination.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources by code point weigh 1, 2, 3, repeating, and share as many words as there are; at most 3 epochs."""
+    """Sources by code point weigh 1, 2, 3, repeating, and share as many words as there are; at most 3 epochs.
+
+    A null source is one, last; texts without words are taken as often as the cut of their source says.
+    """
     return mixing.mixed(docs)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids in Arrow files, and from them a row per document with its place and checksum."""
+    """Token ids in Arrow files, and from them a row per document with its place and checksum.
+
+    A null or empty text is the end id alone; null doc_ids come first; no documents give no file and no row.
+    """
     return token_files.read_digests(spark, token_files.write(docs, public_tokenizers.path(TOKENIZER)))
 
 
