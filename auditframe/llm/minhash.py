@@ -175,6 +175,21 @@ def blocks(frame: DataFrame, key: str, *payload: str) -> DataFrame:
     return at.repartition(tasks(frame.sparkSession), key, "i", "j").sortWithinPartitions(key, "i", "j")
 
 
+def perhaps(rows: DataFrame, key: str, wanted: DataFrame, of: str) -> DataFrame:
+    """``rows`` and ``__hit``, false only for rows whose key is none of the wanted, so that a join needn't move them.
+
+    A bit for each of 2**26 hashes, set where a wanted key falls: 2,048 rows of 4 KB, 8 MB, however many keys there are.
+    With more keys more rows hit; what a join then finds among them is the same.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 26))
+    bits = wanted.select(place(of).alias("__p")).groupBy(F.bitmap_bucket_number("__p").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("__p")).alias("__bits"))
+    bit = F.bitmap_bit_position(place(rows[key]))
+    byte = F.conv(F.hex(F.substring(bits["__bits"], (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.call_function("shiftright", byte, (bit % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+    met = rows.join(F.broadcast(bits), F.bitmap_bucket_number(place(rows[key])) == bits["__bucket"], "left")
+    return met.select(rows["*"], F.coalesce(hit, F.lit(False)).alias("__hit"))
+
+
 def near_duplicates(docs: DataFrame, *, percent: int = 80, k: int = 5) -> DataFrame:
     """Groups of ``docs(doc_id, text)`` whose shingle sets have a Jaccard similarity of ``percent`` or more.
 
@@ -207,8 +222,8 @@ def near_duplicates(docs: DataFrame, *, percent: int = 80, k: int = 5) -> DataFr
     sizes = clusters.groupBy("component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"))
     parts = F.greatest(F.ceil(F.col("n") / SET_BLOCK), F.ceil(F.col("weight") / SET_SHINGLES)).cast("int")
     members = clusters.join(sizes.select("component", parts.alias("parts")), "component").select(F.col("component").alias("cluster"), "parts", "id")
-    # a merge join at every size: the members grow with the corpus, and a plan that turns with them can't be foreseen
-    texts = docs.join(members.hint("merge"), docs.doc_id == members.id).select("cluster", "parts", "id", "text")
+    near = perhaps(docs.where("text is not null"), "doc_id", members, "id").where("__hit")
+    texts = near.join(members, F.col("doc_id") == F.col("id")).select("cluster", "parts", "id", "text")
     sets = texts.mapInArrow(_sets(k), arrow.ddl(SETS)).where("length(shingles) > 0")
     sure = blocks(sets, "cluster", "shingles").mapInArrow(_verify(percent), arrow.ddl(EDGES))
     sure = scratch.save(sure.distinct(), "sure")
@@ -227,4 +242,7 @@ def without_near_duplicates(docs: DataFrame, *, percent: int = 80, k: int = 5) -
     Rows that repeat a kept doc_id stay; a row with a null doc_id stays.
     """
     gone = near_duplicates(docs, percent=percent, k=k).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone.hint("merge"), docs.doc_id == F.col("__gone"), "left_anti")
+    gone = Scratch(docs.sparkSession, "minhash-gone").save(gone, "gone")
+    told = perhaps(docs, "doc_id", gone, "__gone")
+    stay = told.where("__hit").join(gone, told["doc_id"] == gone["__gone"], "left_anti")
+    return told.where("not __hit").unionByName(stay).select(*(F.col(f"`{c}`") for c in docs.columns))
