@@ -1,7 +1,7 @@
 """Token ids in Arrow files of equal-length sequences.
 
 A shard is two Arrow IPC files: ``*.tokens.arrow`` with record batches of ``BATCH`` sequences, each a
-fixed-size list of ids and one of mask bits (false where the last sequence is padded), and ``*.docs.arrow``
+fixed-size list of ids and one of mask bytes (0 where the last sequence is padded), and ``*.docs.arrow``
 with where each document starts in the shard and how many ids it has. Both are uncompressed, so sequence i is
 found by arithmetic and read without a copy from a memory map. Documents run on across sequences; each ends
 with the end id.
@@ -27,8 +27,9 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.shared import new_path
 from . import arrow
-from .scratch import Scratch, shared_dir, tasks
+from .scratch import Scratch, tasks
 
 LENGTH, BATCH, END = 2048, 64, 2
 #: Pieces of text with their ids that a worker remembers, and as many of those it used before that.
@@ -57,7 +58,6 @@ class Encoder(dict):
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
         with open(path, encoding="utf-8") as f:
             said = json.load(f)
@@ -65,6 +65,8 @@ class Encoder(dict):
         self.before: dict[str, bytes] = {}
         self.model, self.place = self.tokenizer.model, byte_characters()
         self.bytes_of = [np.array([i], self.kind).tobytes() for i in range(self.tokenizer.get_vocab_size())]
+        #: Strings that the file has ids of their own for; a text that holds one is left to the library.
+        self.own = [t["content"] for t in said.get("added_tokens", [])]
         self.by_piece = said["model"].get("type") == "BPE" and not said.get("normalizer") and own.items() <= ({"use_regex": True} | (said.get("pre_tokenizer") or {})).items()
 
     def whole(self, text: str) -> bytes:
@@ -84,7 +86,7 @@ class Encoder(dict):
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if not self.by_piece:
+        if not self.by_piece or any(t in text for t in self.own):
             return self.whole(text)
         return b"".join(map(self.__getitem__, (ASCII_SPLIT if text.isascii() else SPLIT).findall(text)))
 
@@ -110,7 +112,7 @@ class Writer:
         fs, at = _place(path)
         fs.create_dir(os.path.dirname(at), recursive=True)
         self.length, self.kind, self.held, self.size, self.total = length, kind, [], 0, 0
-        self.schema = pa.schema([("tokens", pa.list_(pa.from_numpy_dtype(kind), length)), ("mask", pa.list_(pa.bool_(), length))])
+        self.schema = pa.schema([("tokens", pa.list_(pa.from_numpy_dtype(kind), length)), ("mask", pa.list_(pa.uint8(), length))])
         self.sink = fs.open_output_stream(f"{at}.tokens.arrow")
         self.out = pa.ipc.new_file(self.sink, self.schema)
         self.docs_sink = fs.open_output_stream(f"{at}.docs.arrow")
@@ -120,7 +122,7 @@ class Writer:
         real = len(ids)
         rows = -(-real // self.length)
         ids = np.concatenate([ids, np.zeros(rows * self.length - real, self.kind)])
-        mask = pa.array(np.arange(rows * self.length) < real)
+        mask = pa.array((np.arange(rows * self.length) < real).astype(np.uint8))
         lists = (pa.FixedSizeListArray.from_arrays(x, self.length) for x in (pa.array(ids), mask))
         self.out.write_batch(pa.RecordBatch.from_arrays(list(lists), schema=self.schema))
 
@@ -161,11 +163,11 @@ class TokenFile:
         return self.held
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of a sequence; the ids are a view of the file."""
+        """Ids and mask of a sequence, both views of the file."""
         row = self._batch(i // BATCH)
         n = i % BATCH
         ids = row.column(0).flatten().to_numpy()[n * self.length : (n + 1) * self.length]
-        return ids, row.column(1).flatten().slice(n * self.length, self.length).to_numpy(zero_copy_only=False)
+        return ids, row.column(1).flatten().to_numpy()[n * self.length : (n + 1) * self.length].view(bool)
 
     def tokens(self, start: int, n: int) -> np.ndarray:
         """``n`` ids from place ``start`` of the shard."""
@@ -205,14 +207,14 @@ def _write(tokenizer: str, root: str, length: int, end: int):
 def write(docs: DataFrame, tokenizer: str, *, length: int = LENGTH, end: int = END, root: str | None = None) -> DataFrame:
     """Writes ``docs(doc_id, text)`` in ascending doc_id order and returns the manifest ``(shard, path, n_docs, n_ids)``.
 
-    ``root`` is a folder that driver and executors share; by default one below ``spark.checkpoint.dir``.
+    ``root`` is a folder that driver and executors share; by default one below ``spark.checkpoint.dir`` that goes when the process ends.
     Defined cases: a null or empty text is the end id alone; null doc_ids come first; rows that repeat a doc_id
-    follow each other by the hash of their texts; strings of special tokens in a text are ordinary text; an
+    follow each other by the hash of their texts; strings of special tokens in a text get the ids that the library gives them; an
     empty table gives an empty manifest and no file; further columns are ignored.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "token-files")
-    root = root or f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    root = root or new_path(spark, "token-files")
     order = [F.col("doc_id").asc_nulls_first(), F.col("tie")]
     ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
     ranged = ranged.repartitionByRange(tasks(spark), *order).sortWithinPartitions(*order).select("doc_id", "text")
