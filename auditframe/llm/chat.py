@@ -1,8 +1,8 @@
 r"""Chat formatting from an event log.
 
 A conversation is a log of events ``(conv_id, seq, turn, kind, role, text)``: ``start`` opens a turn,
-``delta`` appends to it, ``edit`` replaces its text and drops what follows it, ``regenerate`` empties the
-latest assistant turn for new deltas. Events are dealt out by conversation, sorted by sequence and folded into
+``delta`` appends to it, ``edit`` replaces its text and drops the turns after it, ``regenerate`` empties an
+assistant turn, the latest one if it names no other, for new deltas. Events are dealt out by conversation, sorted by sequence and folded into
 final messages in one pass; a conversation's messages are held, its events aren't.
 
 A turn is rendered as ``### Role: text </turn>`` and a newline. A text's own control strings are told apart by
@@ -17,7 +17,7 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import arrow
@@ -75,33 +75,36 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return out
 
 
-def fold(events: Iterable[tuple[int, str, str | None, str | None]]) -> list[tuple[str, str]]:
+def fold(events: Iterable[tuple[int | None, str | None, str | None, str | None]]) -> list[tuple[str, str]]:
     """Final ``(role, text)`` messages of events ``(turn, kind, role, text)`` in sequence order.
 
-    Turns stand in the order in which they were opened. ``start`` always opens one, and later events with its
-    number are about it; another event opens one if its number has none. A null text is empty, a null kind a
-    delta.
+    Turns stand in the order in which they were opened. ``start`` always opens one, and later events with its number
+    are about it. A delta or edit without a number is about the turn of the event before it, a regenerate without one,
+    or with that of a turn that isn't the assistant's, about the latest assistant turn. An event that finds no turn
+    opens one. A null text is empty, a null kind a delta.
     """
-    turns: list[tuple[str, list[str]]] = []
+    roles: list[str] = []
+    texts: list[list[str]] = []
     place: dict[int, int] = {}
-
-    def opened(turn: int, role: str) -> int:
-        if turn not in place:
-            place[turn] = len(turns)
-            turns.append((role, []))
-        return place[turn]
-
+    now = -1
     for turn, kind, role, text in events:
-        if kind == "start":
-            place.pop(turn, None)
-        at = opened(turn, role or (TRAINED if kind == "regenerate" else ""))
-        if kind in ("edit", "regenerate"):
-            turns[at] = (role or turns[at][0], [])
+        at = -1 if kind == "start" else now if turn is None else place.get(turn, -1)
+        if kind == "regenerate" and (turn is None or at >= 0 and roles[at] != TRAINED):
+            at = max((i for i, r in enumerate(roles) if r == TRAINED), default=-1)
+        if at < 0:
+            at = len(roles)
+            roles.append(role or (TRAINED if kind == "regenerate" else ""))
+            texts.append([])
+            if turn is not None:
+                place[turn] = at
+        elif kind in ("edit", "regenerate"):
+            roles[at], texts[at] = role or roles[at], []
         if kind == "edit":
-            del turns[at + 1 :]
+            del roles[at + 1 :], texts[at + 1 :]
             place = {t: i for t, i in place.items() if i <= at}
-        turns[at][1].append(text or "")
-    return [(role, "".join(parts)) for role, parts in turns]
+        texts[at].append(text or "")
+        now = at
+    return [(role, "".join(parts)) for role, parts in zip(roles, texts, strict=True)]
 
 
 def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,18 +133,35 @@ def format_events(events: DataFrame) -> DataFrame:
     """One row a conversation of ``events(conv_id, seq, turn, kind, role, text)``.
 
     Returns ``conv_id, n_turns, formatted, loss_spans``: loss_spans has start and end of each assistant text in
-    formatted, by code points. Defined cases: events with equal seq go by turn, kind, role and text; a null
-    conv_id is a conversation; a null turn comes before turn 0; a null or empty text is an empty one; an empty
-    table gives no rows; further columns are ignored.
+    formatted, by code points. Defined cases: events with equal seq go by turn, kind, role and text, nulls first; a
+    null conv_id is a conversation; what an event without a turn is about says :func:`fold`; a null or empty text is an
+    empty one; an empty table gives no rows; further columns are ignored.
     """
-    e = events.select("conv_id", "seq", F.coalesce("turn", F.lit(-1)).cast("long").alias("turn"), "kind", "role", "text")
+    e = events.select("conv_id", "seq", F.col("turn").cast("long").alias("turn"), "kind", "role", "text")
     e = e.repartition(tasks(events.sparkSession), "conv_id").sortWithinPartitions("conv_id", "seq", "turn", "kind", "role", "text")
     return e.select(F.col("conv_id").cast("long"), "turn", "kind", "role", "text").mapInArrow(_format, "conv_id long, n_turns long, formatted string, loss_spans array<long>")
 
 
 def as_events(conversations: DataFrame) -> DataFrame:
-    """Rows of ``(conv_id, turn, role, text)`` as events: each starts a turn of its own, those that repeat a turn too."""
-    return conversations.select("conv_id", F.col("turn").alias("seq"), "turn", F.lit("start").alias("kind"), "role", "text")
+    """The log that a chat client would leave of rows ``(conv_id, turn, role, text)``, in the order of turn, role and text.
+
+    An assistant's turn is opened, streams a draft, is regenerated, and streams its text in two deltas; any other turn
+    is opened with a draft and edited into its text. Each row is a turn of its own, those that repeat a turn too.
+    """
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    rows = conversations.select("conv_id", (F.row_number().over(order) - 1).cast("long").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    draft = F.concat(F.reverse("text"), F.lit(" draft </turn>"))
+    event = lambda kind, role, text: F.struct(F.lit(kind).alias("kind"), role.cast("string").alias("role"), text.cast("string").alias("text"))
+    none = F.lit(None)
+    streamed = F.array(
+        event("start", F.col("role"), F.lit("")), event("delta", none, draft), event("regenerate", none, none),
+        event("delta", none, F.left(F.col("text"), half)), event("delta", none, F.substring(F.col("text"), half + 1, F.length("text"))),
+    )
+    edited = F.array(event("start", F.col("role"), draft), event("edit", none, F.col("text")))
+    log = rows.select("conv_id", "turn", F.posexplode(F.when(F.col("role") == TRAINED, streamed).otherwise(edited)).alias("step", "e"))
+    # streamed events name no turn but the first: they are about the one before
+    return log.select("conv_id", (F.col("turn") * 8 + F.col("step")).alias("seq"), F.when(F.col("step") == 0, F.col("turn")).alias("turn"), "e.kind", "e.role", "e.text")
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
