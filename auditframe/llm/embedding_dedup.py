@@ -5,7 +5,8 @@ the cells of a product grid. Every vector is filed in one cell. As a query it vi
 their distance, as many as find a neighbour at the threshold with the target recall, and is compared in double
 precision with what is filed there. Codebooks and the number of visits are fitted on a bounded sample.
 
-Equal vectors are one class. A cell is compared in blocks of at most ``BLOCK`` filed and ``BLOCK`` visiting
+How fine the grid is follows
+from the visits that each of several grids needs on the sample and from the size of the largest label. Equal vectors are one class. A cell is compared in blocks of at most ``BLOCK`` filed and ``BLOCK`` visiting
 vectors; what leaves a block is a count for each vector and a forest of links, never the pairs. A pair that
 both sides can find is counted by each for itself, a pair that one side finds is counted there for both.
 """
@@ -25,14 +26,20 @@ from . import arrow
 from .minhash import forest
 from .scratch import Scratch, components, tasks
 
-#: Codewords a half; sampled vectors; made neighbours that the visits are fitted on; the recall they must have.
-WORDS, SAMPLE, TRIALS, RECALL, BLOCK = 12, 20_000, 3000, 0.998, 1024
+#: Codewords a half of the grids tried; vectors a cell should hold at least; what a visit costs in comparisons.
+GRIDS, LEAST_IN_CELL, VISIT = (6, 12, 24, 48, 96, 192, 384), 8, 100
+#: Sampled vectors; made neighbours that the visits are fitted on; the recall they must have; rows of a block.
+SAMPLE, TRIALS, RECALL, BLOCK = 20_000, 1500, 0.998, 1024
+#: Sampled vectors of a length from which it gets codebooks.
+FEW = 50
 READ = pa.schema([("vec_id", pa.int64()), ("label", pa.int64()), ("dim", pa.int32()), ("hi", pa.int64()), ("lo", pa.int64()), ("vector", pa.binary())])
-FILED = pa.schema([("label", pa.int64()), ("dim", pa.int32()), ("cell", pa.int32()), ("role", pa.int32()), ("id", pa.int64()), ("copies", pa.int64()), ("home", pa.int32()), ("visits", pa.binary()), ("vector", pa.binary())])
+FILED = pa.schema([("label", pa.int64()), ("dim", pa.int32()), ("cell", pa.int32()), ("role", pa.int32()), ("id", pa.int64()), ("copies", pa.int64()), ("home", pa.int32()), ("vector", pa.binary())])
 FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; scaled by their largest component first, so that no square over- or underflows."""
+    x = x / np.abs(x).max(1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -75,23 +82,46 @@ class Index:
         return (o1[np.arange(len(x))[:, None], a[order]] * len(self.second) + o2[np.arange(len(x))[:, None], b[order]]).astype(np.int32)
 
 
-def fit(sample: np.ndarray, least: float, *, words: int = WORDS, recall: float = RECALL) -> Index:
+    def rank(self, x: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """The place of a cell among those that each row visits, ties last; rows a few at a time."""
+        half, out = x.shape[1] // 2, np.empty(len(x), np.int64)
+        for i in range(0, len(x), 64):
+            d1, d2 = squares(x[i : i + 64, :half], self.first), squares(x[i : i + 64, half:], self.second)
+            a, b = np.divmod(cells[i : i + 64], len(self.second))
+            rows = np.arange(len(d1))
+            out[i : i + 64] = (d1[:, :, None] + d2[:, None, :] <= (d1[rows, a] + d2[rows, b])[:, None, None]).sum((1, 2))
+        return out
+
+
+def fit(sample: np.ndarray, least: float, *, words: int, recall: float = RECALL) -> Index:
     """Codebooks, and visits enough that one of two vectors at the threshold reaches the other's cell with the target recall."""
     x, half = unit(sample), sample.shape[1] // 2
     index = Index(codebook(x[:, :half], words), codebook(x[:, half:], words), 1)
     rng = np.random.default_rng(32)
     q = x[rng.integers(0, len(x), TRIALS)]
-    side = rng.normal(size=q.shape)
-    side -= (side * q).sum(1, keepdims=True) * q
-    norm = np.linalg.norm(side, axis=1, keepdims=True)
-    near = least * q + np.sqrt(1 - least**2) * np.divide(side, norm, out=np.zeros_like(side), where=norm > 1e-12)
-    total = len(index.first) * len(index.second)
-    mine, theirs = index.cells(q, total), index.cells(near, total)
-    rank = np.minimum((mine == theirs[:, :1]).argmax(1), (theirs == mine[:, :1]).argmax(1)) + 1
-    index.visits = int(np.quantile(rank, recall, method="higher"))
+    home = index.cells(q, 1)[:, 0]
+    # neighbours lie to all sides alike, or where the sample's vectors differ: the harder case counts
+    for side in (rng.normal(size=q.shape), x[rng.integers(0, len(x), TRIALS)] - x[rng.integers(0, len(x), TRIALS)]):
+        side = side - (side * q).sum(1, keepdims=True) * q
+        norm = np.linalg.norm(side, axis=1, keepdims=True)
+        near = least * q + np.sqrt(1 - least**2) * np.divide(side, norm, out=np.zeros_like(side), where=norm > 1e-12)
+        rank = np.minimum(index.rank(q, index.cells(near, 1)[:, 0]), index.rank(near, home))
+        index.visits = max(index.visits, int(np.quantile(rank, recall, method="higher")))
     return index
 
 
+def best_index(sample: np.ndarray, least: float, largest: int, *, words: int | None = None, recall: float = RECALL) -> Index:
+    """The grid with the least work for a vector of the largest label: each visit is a row to move and a cell to compare."""
+    tried = [words] if words else [k for k in GRIDS if k == GRIDS[0] or k * k * LEAST_IN_CELL <= largest and 16 * k <= len(sample)]
+    fitted = [fit(sample, least, words=k, recall=recall) for k in tried]
+    return min(fitted, key=lambda i: i.visits * (VISIT + largest / (len(i.first) * len(i.second))))
+
+
+def one_cell(dim: int) -> Index:
+    """The index of a length that the sample has none of: everything is in one cell."""
+    return Index(np.zeros((1, dim // 2)), np.zeros((1, dim - dim // 2)), 1)
+
+
 def _read(double: bool):
     kind = np.dtype("<f8" if double else "<f4")
 
@@ -100,8 +130,7 @@ def _read(double: bool):
             rows = []
             for vec, label, e in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 x = np.array(e if e is not None and None not in e else [], kind)
-                norm = np.linalg.norm(x.astype(float)) if len(x) else 0.0
-                if label is None or vec is None or not np.isfinite(norm) or not norm > 0:
+                if label is None or vec is None or not len(x) or not np.isfinite(x).all() or not x.any():
                     rows.append((vec, label, 0, 0, 0, None))
                     continue
                 x = x + kind.type(0)  # -0.0 is 0.0
@@ -121,33 +150,34 @@ def _file(indexes: dict[int, Index], kind: str):
                 for dim in sorted(set(dims)):
                     use = [i for i, d in enumerate(dims) if d == dim]
                     x = unit(np.frombuffer(b"".join(vectors[i] for i in use), kind).reshape(len(use), dim).astype(float))
-                    for i, visits in zip(use, indexes[dim].cells(x), strict=True):
-                        to, v = visits.tobytes(), visits.tolist()
-                        rows.append((label[i], dim, v[0], 0, ids[i], copies[i], v[0], to, vectors[i]))
-                        rows.extend((label[i], dim, c, 1, ids[i], copies[i], v[0], to, vectors[i]) for c in v)
+                    index = indexes.get(dim) or one_cell(dim)
+                    for i, v in zip(use, index.cells(x).tolist(), strict=True):
+                        rows.append((label[i], dim, v[0], 0, ids[i], copies[i], v[0], vectors[i]))
+                        rows.extend((label[i], dim, c, 1, ids[i], copies[i], v[0], vectors[i]) for c in v)
                 yield arrow.batch(FILED, rows)
 
     return run
 
 
-def _compare(least: float, kind: str):
+def _compare(indexes: dict[int, Index], least: float, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for (_, dim, cell, _, _), rows in arrow.runs(batches, 5):
             filed, came = [r for r in rows if r[0] == 0], [r for r in rows if r[0] == 1]
             if not filed or not came:
                 continue
-            x, q = (unit(np.frombuffer(b"".join(r[5] for r in part), kind).reshape(len(part), dim).astype(float)) for part in (filed, came))
+            x, q = (unit(np.frombuffer(b"".join(r[4] for r in part), kind).reshape(len(part), dim).astype(float)) for part in (filed, came))
             xi, qi = (np.array([r[1] for r in part]) for part in (filed, came))
             xn, qn = (np.array([r[2] for r in part]) for part in (filed, came))
             link = (q @ x.T >= least) & (qi[:, None] != xi[None, :])
             if not link.any():
                 continue
             home = np.array([r[3] for r in came])
-            visits = np.frombuffer(b"".join(r[4] for r in filed), np.int32).reshape(len(filed), -1)
+            some = np.flatnonzero(link.any(0))
+            visits = (indexes.get(dim) or one_cell(dim)).cells(x[some])  # of those that a link needs
             both = np.zeros_like(link)  # x, on its own way, comes to q too
-            for h in np.unique(home):
-                both[home == h] = (visits == h).any(1)[None, :] | (h == cell)
+            for h in np.unique(home[link.any(1)]):
+                both[np.ix_(home == h, some)] = (visits == h).any(1)[None, :] | (h == cell)
             for i, n in zip(qi.tolist(), (link @ xn).tolist(), strict=True):
                 if n:
                     out.append((i, None, n))
@@ -168,13 +198,14 @@ def _compare(least: float, kind: str):
     return run
 
 
-def near_embeddings(vectors: DataFrame, *, least: float = 0.93, recall: float = RECALL, sample: int = SAMPLE, words: int = WORDS, block: int = BLOCK) -> DataFrame:
+def near_embeddings(vectors: DataFrame, *, least: float = 0.93, recall: float = RECALL, sample: int = SAMPLE, words: int | None = None, block: int = BLOCK) -> DataFrame:
     """Links of ``vectors(vec_id, embedding, label)`` with equal labels and a cosine of ``least`` or more.
 
     Returns ``vec_id, n_links, component_id, kept`` for every row: how many other vectors it is linked with
     directly, the smallest vec_id reachable, whether that is its own. Defined cases: a vector that is null, empty,
     zero or holds null or non-finite components, one without a label, and one without a vec_id (whose component
-    is null, and which is kept) link with nothing; vectors of different lengths link with nothing; equal
+    is null, and which is kept) link with nothing; vectors of different lengths, of which there may
+    be any number, link with nothing; equal
     vectors always link; rows that repeat a vec_id are one node of the components and each counts as a vector;
     an empty table gives no rows; further columns are ignored.
     """
@@ -188,13 +219,13 @@ def near_embeddings(vectors: DataFrame, *, least: float = 0.93, recall: float =
     live = read.where("vector is not null")
     reps = live.groupBy("hi", "lo").agg(F.min(F.struct("vec_id", "label", "dim", "vector")).alias("r"), F.count("*").alias("copies"))
     reps = scratch.save(reps.select("hi", "lo", "copies", F.col("r.vec_id").alias("id"), "r.label", "r.dim", "r.vector"), "reps")
+    largest = reps.groupBy("label", "dim").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     some = reps.select("dim", F.xxhash64("hi", "lo").alias("h"), "vector").orderBy("h").limit(sample).collect()
-    known = {r.dim for r in some}
-    for dim in [r.dim for r in reps.select("dim").distinct().limit(1000).collect() if r.dim not in known]:
-        some += reps.where(F.col("dim") == dim).select("dim", F.xxhash64("hi", "lo").alias("h"), "vector").limit(1000).collect()
-    indexes = {}
-    for dim in {r.dim for r in some}:
-        indexes[dim] = fit(np.frombuffer(b"".join(r.vector for r in some if r.dim == dim), kind).reshape(-1, dim).astype(float), least, words=words, recall=recall)
+    by_dim: dict[int, list[bytes]] = {}
+    for r in some:
+        by_dim.setdefault(r.dim, []).append(r.vector)
+    # a length with few vectors in the sample is one cell, as is one with none
+    indexes = {dim: best_index(np.frombuffer(b"".join(v), kind).reshape(-1, dim).astype(float), least, largest, words=words, recall=recall) for dim, v in by_dim.items() if dim > 1 and len(v) >= FEW}
 
     filed = reps.select("label", "dim", "id", "copies", "vector").mapInArrow(_file(indexes, kind), arrow.ddl(FILED))
     filed = scratch.save(filed, "filed")
@@ -204,9 +235,9 @@ def near_embeddings(vectors: DataFrame, *, least: float = 0.93, recall: float =
     mine = F.when(F.col("role") == 0, F.pmod(F.xxhash64("id"), F.col("p0"))).otherwise(F.pmod(F.xxhash64("id"), F.col("p1"))).cast("int")
     dealt = dealt.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("role") == 0, F.col("p1")).otherwise(F.col("p0")) - 1)))
     keys = ["label", "dim", "cell", "i", "j"]
-    dealt = dealt.select("label", "dim", "cell", F.when(F.col("role") == 0, F.col("mine")).otherwise(F.col("other")).alias("i"), F.when(F.col("role") == 0, F.col("other")).otherwise(F.col("mine")).alias("j"), "role", "id", "copies", "home", "visits", "vector")
+    dealt = dealt.select("label", "dim", "cell", F.when(F.col("role") == 0, F.col("mine")).otherwise(F.col("other")).alias("i"), F.when(F.col("role") == 0, F.col("other")).otherwise(F.col("mine")).alias("j"), "role", "id", "copies", "home", "vector")
     dealt = dealt.repartition(tasks(spark), *keys).sortWithinPartitions(*keys)
-    found = scratch.save(dealt.mapInArrow(_compare(least, kind), arrow.ddl(FOUND)), "found")
+    found = scratch.save(dealt.mapInArrow(_compare(indexes, least, kind), arrow.ddl(FOUND)), "found")
 
     groups = components(scratch, found.where("b is not null").select("a", "b"))
     counts = found.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
