@@ -1,7 +1,7 @@
 """Token ids in Arrow files of equal-length sequences.
 
 A shard is two Arrow IPC files: ``*.tokens.arrow`` with record batches of ``BATCH`` sequences, each a
-fixed-size list of ids and one of mask bytes (0 where the last sequence is padded), and ``*.docs.arrow``
+fixed-size list of ids and one of mask bytes (0 where the last sequence is padded; a dictionary, since there are two), and ``*.docs.arrow``
 with where each document starts in the shard and how many ids it has. Both are uncompressed, so sequence i is
 found by arithmetic and read without a copy from a memory map. Documents run on across sequences; each ends
 with the end id.
@@ -112,9 +112,10 @@ class Writer:
         fs, at = _place(path)
         fs.create_dir(os.path.dirname(at), recursive=True)
         self.length, self.kind, self.held, self.size, self.total = length, kind, [], 0, 0
-        self.schema = pa.schema([("tokens", pa.list_(pa.from_numpy_dtype(kind), length)), ("mask", pa.list_(pa.uint8(), length))])
+        self.masks = [np.ones(length, np.uint8)]
+        self.schema = pa.schema([("tokens", pa.list_(pa.from_numpy_dtype(kind), length)), ("mask", pa.dictionary(pa.int8(), pa.list_(pa.uint8(), length)))])
         self.sink = fs.open_output_stream(f"{at}.tokens.arrow")
-        self.out = pa.ipc.new_file(self.sink, self.schema)
+        self.out = pa.ipc.new_file(self.sink, self.schema, options=pa.ipc.IpcWriteOptions(emit_dictionary_deltas=True))
         self.docs_sink = fs.open_output_stream(f"{at}.docs.arrow")
         self.docs = pa.ipc.new_file(self.docs_sink, DOCS)
 
@@ -122,9 +123,13 @@ class Writer:
         real = len(ids)
         rows = -(-real // self.length)
         ids = np.concatenate([ids, np.zeros(rows * self.length - real, self.kind)])
-        mask = pa.array((np.arange(rows * self.length) < real).astype(np.uint8))
-        lists = (pa.FixedSizeListArray.from_arrays(x, self.length) for x in (pa.array(ids), mask))
-        self.out.write_batch(pa.RecordBatch.from_arrays(list(lists), schema=self.schema))
+        last = real - (rows - 1) * self.length
+        which = np.zeros(rows, np.int8)
+        if last < self.length:  # only a shard's last sequence
+            which[-1] = len(self.masks)
+            self.masks.append((np.arange(self.length) < last).astype(np.uint8))
+        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, np.concatenate(self.masks))]
+        self.out.write_batch(pa.RecordBatch.from_arrays([lists[0], pa.DictionaryArray.from_arrays(pa.array(which), lists[1])], schema=self.schema))
 
     def add(self, data: bytes) -> None:
         self.held.append(data)
@@ -163,11 +168,13 @@ class TokenFile:
         return self.held
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of a sequence, both views of the file."""
+        """Ids and mask of a sequence, neither copied: a view of the file, and one of the file's masks."""
         row = self._batch(i // BATCH)
         n = i % BATCH
         ids = row.column(0).flatten().to_numpy()[n * self.length : (n + 1) * self.length]
-        return ids, row.column(1).flatten().to_numpy()[n * self.length : (n + 1) * self.length].view(bool)
+        mask = row.column(1)
+        at = mask.indices[n].as_py() * self.length
+        return ids, mask.dictionary.flatten().to_numpy()[at : at + self.length].view(bool)
 
     def tokens(self, start: int, n: int) -> np.ndarray:
         """``n`` ids from place ``start`` of the shard."""
