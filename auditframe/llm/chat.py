@@ -139,7 +139,7 @@ def format_events(events: DataFrame) -> DataFrame:
     """
     e = events.select("conv_id", "seq", F.col("turn").cast("long").alias("turn"), "kind", "role", "text")
     e = e.repartition(tasks(events.sparkSession), "conv_id").sortWithinPartitions("conv_id", "seq", "turn", "kind", "role", "text")
-    return e.select(F.col("conv_id").cast("long"), "turn", "kind", "role", "text").mapInArrow(_format, "conv_id long, n_turns long, formatted string, loss_spans array<long>")
+    return e.select(F.col("conv_id").cast("long"), "turn", "kind", "role", "text").mapInArrow(arrow.tidy(_format), "conv_id long, n_turns long, formatted string, loss_spans array<long>")
 
 
 def as_events(conversations: DataFrame) -> DataFrame:
@@ -182,4 +182,4 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def digests(formatted: DataFrame) -> DataFrame:
     """What a reader gets back from formatted conversations, as counts and hashes."""
-    return formatted.select("conv_id", "formatted", "loss_spans").mapInArrow(_digest, arrow.ddl(DIGESTS))
+    return formatted.select("conv_id", "formatted", "loss_spans").mapInArrow(arrow.tidy(_digest), arrow.ddl(DIGESTS))

@@ -205,7 +205,7 @@ def _leaks(docs: DataFrame, parts: list[Benchmark]) -> DataFrame:
     named = docs.select(F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row"), "text").where("text is not null")
     scratch, found = Scratch(docs.sparkSession, "decontamination"), None
     for i, bench in enumerate(parts):
-        part = scratch.save(named.mapInArrow(_pairs(bench), arrow.ddl(PAIRS)), f"leaks-{i}")
+        part = scratch.save(named.mapInArrow(arrow.tidy(_pairs(bench)), arrow.ddl(PAIRS)), f"leaks-{i}")
         found = part if found is None else found.unionByName(part)
     return found.groupBy("row", "item_id").agg(F.max("coverage").alias("coverage"))
 
@@ -223,7 +223,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, coverage: float = CO
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = list(blocks(benchmark, small, k))
     if len(parts) == 1:
-        return docs.mapInArrow(_tell(parts[0], coverage), arrow.ddl(FOUND))
+        return docs.mapInArrow(arrow.tidy(_tell(parts[0], coverage)), arrow.ddl(FOUND))
     best = _leaks(docs, parts).groupBy("row").agg(
         F.min(F.struct((-F.col("coverage")).alias("less"), "item_id")).alias("best"), F.sort_array(F.collect_list(F.when(F.col("coverage") >= coverage, F.col("item_id")))).alias("hits")
     )
@@ -236,6 +236,6 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, *, coverage: float = CO
     """Rows of ``docs``, all columns, that hold no item of ``benchmark``; cases as in :func:`decontaminate`."""
     parts = list(blocks(benchmark, small, k))
     if len(parts) == 1:
-        return docs.mapInArrow(_clean(parts[0], coverage, docs.columns.index("text")), docs.schema)
+        return docs.mapInArrow(arrow.tidy(_clean(parts[0], coverage, docs.columns.index("text"))), docs.schema)
     bad = _leaks(docs, parts).where(F.col("coverage") >= coverage).select(F.col("row").alias("__leak")).distinct()
     return docs.join(bad, F.xxhash64(docs["doc_id"].cast("long"), docs["text"]) == F.col("__leak"), "left_anti")

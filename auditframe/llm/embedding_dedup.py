@@ -214,7 +214,7 @@ def near_embeddings(vectors: DataFrame, *, least: float = 0.93, recall: float =
     double = dict(vectors.dtypes)["embedding"] == "array<double>"
     kind = "<f8" if double else "<f4"
     plain = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), F.col("embedding").cast("array<double>" if double else "array<float>"))
-    read = scratch.save(plain.mapInArrow(_read(double), arrow.ddl(READ)), "read")
+    read = scratch.save(plain.mapInArrow(arrow.tidy(_read(double)), arrow.ddl(READ)), "read")
 
     live = read.where("vector is not null")
     reps = live.groupBy("hi", "lo").agg(F.min(F.struct("vec_id", "label", "dim", "vector")).alias("r"), F.count("*").alias("copies"))
@@ -227,7 +227,7 @@ def near_embeddings(vectors: DataFrame, *, least: float = 0.93, recall: float =
     # a length with few vectors in the sample is one cell, as is one with none
     indexes = {dim: best_index(np.frombuffer(b"".join(v), kind).reshape(-1, dim).astype(float), least, largest, words=words, recall=recall) for dim, v in by_dim.items() if dim > 1 and len(v) >= FEW}
 
-    filed = reps.select("label", "dim", "id", "copies", "vector").mapInArrow(_file(indexes, kind), arrow.ddl(FILED))
+    filed = reps.select("label", "dim", "id", "copies", "vector").mapInArrow(arrow.tidy(_file(indexes, kind)), arrow.ddl(FILED))
     filed = scratch.save(filed, "filed")
     sizes = filed.groupBy("label", "dim", "cell").agg(F.count_if(F.col("role") == 0).alias("n0"), F.count_if(F.col("role") == 1).alias("n1"))
     sizes = sizes.where("n0 > 0 and n1 > 1").select("label", "dim", "cell", F.ceil(F.col("n0") / block).cast("int").alias("p0"), F.ceil(F.col("n1") / block).cast("int").alias("p1"))
@@ -237,7 +237,7 @@ def near_embeddings(vectors: DataFrame, *, least: float = 0.93, recall: float =
     keys = ["label", "dim", "cell", "i", "j"]
     dealt = dealt.select("label", "dim", "cell", F.when(F.col("role") == 0, F.col("mine")).otherwise(F.col("other")).alias("i"), F.when(F.col("role") == 0, F.col("other")).otherwise(F.col("mine")).alias("j"), "role", "id", "copies", "home", "vector")
     dealt = dealt.repartition(tasks(spark), *keys).sortWithinPartitions(*keys)
-    found = scratch.save(dealt.mapInArrow(_compare(indexes, least, kind), arrow.ddl(FOUND)), "found")
+    found = scratch.save(dealt.mapInArrow(arrow.tidy(_compare(indexes, least, kind)), arrow.ddl(FOUND)), "found")
 
     groups = components(scratch, found.where("b is not null").select("a", "b"))
     counts = found.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))

@@ -139,4 +139,4 @@ def identify(docs: DataFrame, *, languages: int = LANGUAGES) -> DataFrame:
     equal results; an empty table gives no rows; further columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
-    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(_score(learn(docs, languages=languages)), arrow.ddl(SCORES))
+    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(arrow.tidy(_score(learn(docs, languages=languages))), arrow.ddl(SCORES))

@@ -202,7 +202,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 80, k: int = 5) -> DataFr
     spark = docs.sparkSession
     scratch, threshold, bands = Scratch(spark, "minhash"), percent / 100, bands_for(percent / 100)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = scratch.save(docs.mapInArrow(_sign(bands, k), arrow.ddl(SIGNED)), "signed")
+    signed = scratch.save(docs.mapInArrow(arrow.tidy(_sign(bands, k)), arrow.ddl(SIGNED)), "signed")
 
     live = signed.where("n_shingles > 0 and doc_id is not null")
     first = live.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "n_shingles", "bands", "signature")).alias("r"), F.count("*").alias("copies"))
@@ -214,7 +214,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 80, k: int = 5) -> DataFr
     buckets = buckets.select("bucket", F.ceil(F.col("n") / BAND_BLOCK).cast("int").alias("parts"))
     near = banded.join(buckets, "bucket").join(reps.select("id", "signature"), "id")
     slack = 5.2 * math.sqrt(threshold * (1 - threshold) / (bands * ROWS))
-    maybe = blocks(near, "bucket", "signature").mapInArrow(_alike(threshold - slack), arrow.ddl(EDGES))
+    maybe = blocks(near, "bucket", "signature").mapInArrow(arrow.tidy(_alike(threshold - slack)), arrow.ddl(EDGES))
     maybe = scratch.save(maybe.distinct(), "maybe")
 
     clusters = components(scratch, maybe, "clusters")
@@ -224,8 +224,8 @@ def near_duplicates(docs: DataFrame, *, percent: int = 80, k: int = 5) -> DataFr
     members = clusters.join(sizes.select("component", parts.alias("parts")), "component").select(F.col("component").alias("cluster"), "parts", "id")
     near = perhaps(docs.where("text is not null"), "doc_id", members, "id").where("__hit")
     texts = near.join(members, F.col("doc_id") == F.col("id")).select("cluster", "parts", "id", "text")
-    sets = texts.mapInArrow(_sets(k), arrow.ddl(SETS)).where("length(shingles) > 0")
-    sure = blocks(sets, "cluster", "shingles").mapInArrow(_verify(percent), arrow.ddl(EDGES))
+    sets = texts.mapInArrow(arrow.tidy(_sets(k)), arrow.ddl(SETS)).where("length(shingles) > 0")
+    sure = blocks(sets, "cluster", "shingles").mapInArrow(arrow.tidy(_verify(percent)), arrow.ddl(EDGES))
     sure = scratch.save(sure.distinct(), "sure")
 
     groups = components(scratch, sure, "groups")

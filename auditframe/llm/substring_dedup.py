@@ -173,7 +173,7 @@ def dedup_units(docs: DataFrame, *, kind: str = "line", min_words: int = 5) -> D
     scratch = Scratch(docs.sparkSession, "substring-dedup")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     named = docs.withColumn("version", F.xxhash64("text"))
-    units = named.where("text is not null").select("doc_id", "version", "text").mapInArrow(_units(kind, min_words), arrow.ddl(UNITS))
+    units = named.where("text is not null").select("doc_id", "version", "text").mapInArrow(arrow.tidy(_units(kind, min_words)), arrow.ddl(UNITS))
     units = scratch.save(units, "units")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version", "unit")
     heads = units.groupBy("hi", "lo").agg(F.min(rank).alias("head"), F.count("*").alias("n")).where("n > 1").select("hi", "lo", "head")
@@ -186,4 +186,4 @@ def dedup_units(docs: DataFrame, *, kind: str = "line", min_words: int = 5) -> D
     n = named.alias("n")
     out = n.join(gone, F.col("n.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("n.version") == F.col("g.version")), "left")
     run, schema = _cut(kind)
-    return out.select("n.doc_id", "text", "gone").mapInArrow(run, schema)
+    return out.select("n.doc_id", "text", "gone").mapInArrow(arrow.tidy(run), schema)

@@ -33,7 +33,7 @@ from .scratch import Scratch, tasks
 
 LENGTH, BATCH, END = 2048, 64, 2
 #: Pieces of text with their ids that a worker remembers, and as many of those it used before that.
-KEPT = 300_000
+KEPT = 150_000
 SHARDS = pa.schema([("shard", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
 DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 DIGESTS = pa.schema([*DOCS, ("ids_crc32", pa.int64())])
@@ -225,7 +225,7 @@ def write(docs: DataFrame, tokenizer: str, *, length: int = LENGTH, end: int = E
     order = [F.col("doc_id").asc_nulls_first(), F.col("tie")]
     ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
     ranged = ranged.repartitionByRange(tasks(spark), *order).sortWithinPartitions(*order).select("doc_id", "text")
-    return scratch.save(ranged.mapInArrow(_write(tokenizer, root, length, end), arrow.ddl(SHARDS)), "manifest")
+    return scratch.save(ranged.mapInArrow(arrow.tidy(_write(tokenizer, root, length, end)), arrow.ddl(SHARDS)), "manifest")
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,4 +249,4 @@ def read_digests(spark: SparkSession, manifest: DataFrame) -> DataFrame:
         placed.append((r.path, at))
         at += r.n_ids
     shards = spark.createDataFrame(placed, "path string, offset long").repartition(max(1, len(placed)))
-    return shards.mapInArrow(_digest, arrow.ddl(DIGESTS))
+    return shards.mapInArrow(arrow.tidy(_digest), arrow.ddl(DIGESTS))

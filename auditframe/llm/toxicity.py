@@ -234,12 +234,12 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     columns are ignored; a label without a document and a null grade count for nothing.
     """
     model = learn(docs, labels)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_score(model), arrow.ddl(SCORES))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(arrow.tidy(_score(model)), arrow.ddl(SCORES))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of ``docs``, all columns, that :func:`toxicity` does not call toxic."""
-    return docs.mapInArrow(_clean(learn(docs, labels), docs.columns.index("text")), docs.schema)
+    return docs.mapInArrow(arrow.tidy(_clean(learn(docs, labels), docs.columns.index("text"))), docs.schema)
 
 
 def grades_from(labels: DataFrame) -> DataFrame:
