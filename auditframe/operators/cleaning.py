@@ -114,11 +114,13 @@ def safety_report(f: AuditFrame, cleaned: DataFrame, log: DataFrame) -> DataFram
     key = f.primary_key or f.columns
     before = f.wide.agg(F.count("*").alias("n"), F.count_distinct(F.xxhash64(*(f.cell(c) for c in key))).alias("keys")).first()
     after = cleaned.agg(F.count("*").alias("n"), F.count_distinct(F.xxhash64(*(F.col(f"`{c}`") for c in key))).alias("keys")).first()
-    hidden = [c for c in f.columns if N.is_pii(c)]
-    was = f.wide.unpivot([f.rid], f.columns, "column", "was")
-    now = cleaned.unpivot([f.rid], f.columns, "column", "now")
-    changed = was.join(now, [f.rid, "column"]).where((F.col("was") != F.col("now")) & ~F.col("column").isin(hidden)).select(F.col(f.rid).alias("row"), "column", "was", "now")
-    ends = log.where(~F.col("column").isin(hidden)).select("row", "column").distinct()
-    unlogged = changed.join(ends, ["row", "column"], "left_anti").count()
+    shown = [c for c in f.columns if not N.is_pii(c)]
+    # both versions of a row side by side; only cells that differ become rows, and each must be what the log says was written
+    now = cleaned.select(F.col(f.rid).alias("__rid"), *(F.col(f"`{c}`").alias(f"__now{i}") for i, c in enumerate(shown)))
+    cells = F.array(*(F.when(~f.cell(c).eqNullSafe(F.col(f"__now{i}")), F.struct(F.lit(c).alias("column"), F.col(f"__now{i}").alias("now"))) for i, c in enumerate(shown)))
+    both = f.wide.join(now, F.col(f.rid) == F.col("__rid"))
+    changed = both.select(F.col("__rid").alias("row"), F.explode(F.filter(cells, lambda s: s.isNotNull())).alias("s")).select("row", "s.*") if shown else None
+    written = log.select("row", "column", F.col("new_value").alias("now")).distinct()
+    unlogged = changed.join(written, ["row", "column", "now"], "left_anti").count() if shown else 0
     checks = [("row_count", before.n == after.n), ("columns", set(f.columns) == set(cleaned.columns) - {f.rid}), ("primary_keys", before["keys"] == after["keys"]), ("every_change_logged", unlogged == 0)]
     return f.spark.createDataFrame(checks, "check string, passed boolean")

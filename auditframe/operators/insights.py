@@ -202,3 +202,10 @@ def impute_value(f: AuditFrame, column: str) -> str | None:
         return None if got is None else f"{round(got.q[0], 4):g}"
     top = v.groupBy("v").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "v").first()
     return None if top is None or N.is_pii(column) else top.v
+
+
+def is_fill_candidate(f: AuditFrame, column: str) -> bool:
+    """Whether filling a column's blanks makes sense: it holds numbers, or categories each of which comes back once on average."""
+    s = f.stats[column]
+    filled = s.total - s.blanks
+    return filled > 0 and (f.types[column] == "numeric" or f.types[column] == "categorical" and s.distinct <= max(2, filled // 2))

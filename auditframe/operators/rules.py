@@ -137,3 +137,55 @@ def evaluate_expectations(f: AuditFrame, specs: list[dict[str, Any]]) -> DataFra
 def chained_keys(mapping: dict[str, str]) -> list[str]:
     """Keys that another key maps to: applying such a mapping twice gives something else."""
     return sorted(k for k in mapping if mapping[k] != k and any(v == k and other != k for other, v in mapping.items()))
+
+
+def mapping_conflicts(missing: dict[str, str], categories: dict[str, str]) -> list[str]:
+    """Values that both maps of a column rewrite, or that one map writes and either rewrites."""
+    return sorted(set(missing) & set(categories) | set(chained_keys(missing | categories)))
+
+
+def describe(spec: dict[str, Any]) -> str:
+    """An expectation as a sentence."""
+    column, kind = spec.get("column"), spec["type"]
+    if kind == "conditional":
+        said = [" ".join(str(part[k]) for k in ("column", "op", "value") if k in part) for part in (spec["when"], spec["then"])]
+        return f"if {said[0]} then {said[1]}"
+    low, high = spec.get("min"), spec.get("max")
+    ranges = f"between {low} and {high}" if None not in (low, high) else f"≥ {low}" if low is not None else f"≤ {high}"
+    return f"{column} is " + {"range": ranges, "required": "never blank", "unique": "unique", "allowed_values": "one of: " + ", ".join(map(str, spec.get("values", [])))}[kind]
+
+
+#: Parts of a rules file, and what each says of a column.
+RULE_PARTS = {"columns": dict, "primary_key": list, "missing_values": dict, "category_mappings": dict, "expectations": list}
+COLUMN_RULES = {"type": str, "format": str, "minimum": (int, float), "maximum": (int, float)}
+
+
+def check_rules(rules: Any, columns: list[str] | None = None) -> None:
+    """Raises ValueError, with all that is wrong, for rules that would be half applied."""
+    if not isinstance(rules, dict):
+        raise ValueError("rules are a mapping")
+    wrong = [f"unknown part {k!r}" for k in rules if k not in RULE_PARTS]
+    wrong += [f"{k} is no {kind.__name__}" for k, kind in RULE_PARTS.items() if rules.get(k) is not None and not isinstance(rules[k], kind)]
+    if wrong:
+        raise ValueError("; ".join(wrong))
+    for c, spec in (rules.get("columns") or {}).items():
+        if not isinstance(spec, dict):
+            wrong.append(f"{c}: no mapping")
+            continue
+        wrong += [f"{c}: unknown rule {k!r}" for k in spec if k not in COLUMN_RULES]
+        wrong += [f"{c}: {k} is {v!r}" for k, v in spec.items() if k in COLUMN_RULES and (isinstance(v, bool) or not isinstance(v, COLUMN_RULES[k]))]
+        numbers = [spec[k] for k in ("minimum", "maximum") if isinstance(spec.get(k), (int, float))]
+        wrong += [f"{c}: minimum over maximum"] if len(numbers) == 2 and numbers[0] > numbers[1] else []
+    missing, merged = rules.get("missing_values") or {}, rules.get("category_mappings") or {}
+    for c in sorted({*missing, *merged}):
+        maps = [m.get(c) or {} for m in (missing, merged)]
+        if not all(isinstance(m, dict) and all(isinstance(x, str) for kv in m.items() for x in kv) for m in maps):
+            wrong.append(f"{c}: values aren't mapped from strings to strings")
+        elif bad := mapping_conflicts(*maps):
+            wrong.append(f"{c}: {', '.join(bad)} is rewritten twice")
+    named = [*(rules.get("columns") or {}), *(rules.get("primary_key") or []), *missing, *merged]
+    wrong += [f"no column {c!r}" for c in dict.fromkeys(named) if columns is not None and c not in columns]
+    if wrong:
+        raise ValueError("; ".join(wrong))
+    for spec in rules.get("expectations") or []:
+        check_expectation(spec, columns if columns is not None else [spec.get("column"), *(spec[k]["column"] for k in ("when", "then") if k in spec)])

@@ -5,9 +5,12 @@ Pairs of columns are dealt out as keys of one grouped plan; what comes back is a
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import exprs as X
 from ..functions import names as N
 from ..plans.frame import AuditFrame
 from .columns import counted, sampled
@@ -89,6 +92,28 @@ def trends(f: AuditFrame, date: str, measures: list[str]) -> DataFrame:
     return long.groupBy("measure", "period").agg(F.count("*").alias("n"), F.round(F.avg("x"), 6).alias("mean"))
 
 
+def date_trends(f: AuditFrame, measures: list[str], least: float = 0.3) -> DataFrame:
+    """``(date, measure, n, rho, direction)``: rank correlations of measures with a date, ``least`` or more, over thirty rows or more.
+
+    The date is the first date column with thirty ISO dates over two periods (years from two years on, else months).
+    """
+    dates = [c for c in f.columns if f.types[c] == "date" and f.roles[c] != "DATE_OF_BIRTH"] if measures else []
+    spans = [(F.count_if(X.is_iso(f.value(c))), F.min(F.when(X.is_iso(f.value(c)), f.value(c))), F.max(F.when(X.is_iso(f.value(c)), f.value(c)))) for c in dates]
+    got = f.wide.agg(*(x.alias(f"{k}{i}") for i, three in enumerate(spans) for k, x in zip(("n", "lo", "hi"), three, strict=True))).first() if dates else None
+    for i, c in enumerate(dates):
+        if got[f"n{i}"] < 30:
+            continue
+        first, last = (datetime.date.fromisoformat(got[f"{k}{i}"]) for k in ("lo", "hi"))
+        if first.year == last.year and ((last - first).days >= 730 or first.month == last.month):
+            continue
+        day = F.unix_date(X.real_date(f.value(c))).cast("double")
+        values = F.array(*(F.struct(F.lit(m).alias("b"), f.number(m).alias("y")) for m in measures))
+        pairs = sampled(f).select(F.lit(c).alias("a"), day.alias("x"), F.explode(values).alias("v")).select("a", "x", "v.*").where("x is not null and y is not null")
+        rho = spearman(pairs).where(f"n >= 30 and abs(rho) >= {least}")
+        return rho.select(F.col("a").alias("date"), F.col("b").alias("measure"), "n", F.round("rho", 6).alias("rho"), F.when(F.col("rho") > 0, "increasing").otherwise("decreasing").alias("direction"))
+    return f.spark.createDataFrame([], "date string, measure string, n long, rho double, direction string")
+
+
 def concentration(f: AuditFrame, measures: list[str]) -> DataFrame:
     """``(measure, n, share)``: the part of a column's total that its largest tenth of rows holds, from value counts."""
     v = f.vc.where(F.col("column").isin(measures) & (F.col("x") >= 0)).groupBy("column", "x").agg(F.sum("n").alias("n"))

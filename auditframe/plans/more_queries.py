@@ -124,6 +124,7 @@ QUERIES: dict[str, Q] = {
     "association_eta_squared": lambda s, d: statistics.eta_squared(intake(s, d), GROUPS, NUMERIC),
     "association_cramers_v": lambda s, d: statistics.cramers_v(intake(s, d), GROUPS),
     "trend_orders": lambda s, d: statistics.trends(orders(s, d), "o_orderdate", ["o_totalprice"]),
+    "trend_spearman_orders": lambda s, d: statistics.date_trends(orders(s, d), ["o_totalprice", "o_custkey"], 0.0),
     "concentration_totalprice": lambda s, d: statistics.concentration(orders(s, d), ["o_totalprice"]),
     "numeric_summaries": lambda s, d: statistics.summaries(intake(s, d), NUMERIC),
     "dominant_values": lambda s, d: statistics.dominant_values(intake(s, d)),
@@ -263,6 +264,11 @@ SQL: dict[str, str] = {
     "association_eta_squared": " union all ".join(eta(m, g) for m in NUMERIC for g in GROUPS),
     "association_cramers_v": " union all ".join(cramer(a, b) for i, a in enumerate(GROUPS) for b in GROUPS[i + 1 :]),
     "trend_orders": "select 'o_totalprice' as measure, case when (select date_part('year', max(o_orderdate)) - date_part('year', min(o_orderdate)) from orders) >= 2 then strftime(o_orderdate, '%Y') else strftime(o_orderdate, '%Y-%m') end as period, count(*) as n, round(avg(o_totalprice), 6) as mean from orders group by 1, 2",
+    "trend_spearman_orders": " union all ".join(
+        f"""select 'o_orderdate' as date, '{m}' as measure, count(*) as n, round(corr(rx, ry), 6) as rho, case when corr(rx, ry) > 0 then 'increasing' else 'decreasing' end as direction
+        from (select rank() over (order by cast(o_orderdate as date)) + (count(*) over (partition by cast(o_orderdate as date)) - 1) / 2.0 as rx, rank() over (order by {m}) + (count(*) over (partition by {m}) - 1) / 2.0 as ry from orders where {m} not in (999, 9999, 777, 7777)) t"""
+        for m in ("o_totalprice", "o_custkey")
+    ),
     "concentration_totalprice": "select 'o_totalprice' as measure, max(n) as n, round(sum(o_totalprice) filter (r <= floor(n / 10)) / sum(o_totalprice), 6) as share from (select o_totalprice, row_number() over (order by o_totalprice desc) as r, count(*) over () as n from orders) t",
     "numeric_summaries": " union all ".join(f"""select '{c}' as measure, count(*) as n, round(avg(x), 6) as mean, round(stddev_samp(x), 6) as sd, round(avg(power((x - m) / s, 3)), 6) as skew, min(x) as low, quantile_cont(x, 0.5) as median, max(x) as high from (select {num(c)} as x, (select avg({num(c)}) from intake) as m, (select stddev_samp({num(c)}) from intake) as s from intake) t""" for c in NUMERIC),
     "dominant_values": """select 'batch' as "column", '' as "value", 0.0 as share where false union all """ + " union all ".join(f"""select '{c}' as "column", v as "value", round(n / t, 6) as share from (select trim({c}) as v, count(*) as n, sum(count(*)) over () as t, count(*) over () as k from intake where {c} <> '' group by 1) q where n >= 0.8 * t and k >= 2""" for c in ("sex", "grade", "level", "state", "region_name", "latitude", "body_temp", "has_spouse")),

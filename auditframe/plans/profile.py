@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..functions import names as N
 from .frame import AuditFrame
 
 
@@ -52,6 +53,24 @@ def entries(f: AuditFrame) -> dict[str, list]:
     return {c: [f.category[c], f.types[c], s.total, s.nulls, s.unique, s.zeros] for c, s in sorted(f.stats.items())}
 
 
+def suggest_primary_key(f: AuditFrame) -> list[str]:
+    """The first record id that is unique and never blank; else the first id and a record number or date beside it; else a guess.
+
+    Ids are names of ids that are neither places nor personal data. All pairs are counted in one pass.
+    """
+    ids = [c for c in f.columns if N.is_id(c) and not N.is_place(c) and not N.is_pii(c)]
+    alone = [c for c in ids if f.rows and not f.stats[c].blanks and f.stats[c].distinct == f.rows]
+    guess = (alone or ids or [c for c in f.columns if not N.is_place(c)] or f.columns)[:1]
+    if alone or not ids:
+        return guess
+    beside = [c for c in f.columns if c != ids[0] and N.has("record_number", c) and not N.is_pii(c) and not f.stats[c].blanks]
+    if not beside or f.stats[ids[0]].blanks:
+        return guess
+    got = f.wide.agg(*(F.count_distinct(f.value(ids[0]), f.value(c)).alias(f"d{i}") for i, c in enumerate(beside))).first()
+    pairs = sorted((f.stats[c].distinct, i) for i, c in enumerate(beside) if got[f"d{i}"] == f.rows)
+    return [ids[0], beside[pairs[0][1]]] if pairs else guess
+
+
 def fingerprint(f: AuditFrame) -> DataFrame:
     """Hashes of the schema and of the whole dictionary."""
     canon = lambda x: hashlib.sha256(json.dumps(x, separators=(",", ":"), sort_keys=True).encode()).hexdigest()

@@ -368,3 +368,32 @@ def test_bounds_sample_evenly(spark):
     assert sampled(AuditFrame(df)).count() == 1000
     some = sampled(AuditFrame(df, bounds=Bounds(rows=100)))
     assert sorted(r._rid for r in some.collect()) == [i * 30 for i in range(100)]
+
+
+def test_rules_are_checked_whole():
+    rules.check_rules({"columns": {"a": {"type": "date", "minimum": 1}}, "missing_values": {"a": {"-9": ""}}, "category_mappings": {"a": {"x": "y"}}}, ["a"])
+    for bad in ([], {"odd": 1}, {"columns": []}, {"columns": {"a": {"max": 3}}}, {"columns": {"a": {"minimum": "1"}}}, {"columns": {"a": {"minimum": 3, "maximum": 1}}}, {"columns": {"b": {}}},
+                {"missing_values": {"a": {"-9": "x"}}, "category_mappings": {"a": {"x": "y"}}}, {"category_mappings": {"a": {"x": 1}}}, {"expectations": [{"type": "odd", "column": "a"}]}):
+        with pytest.raises(ValueError):
+            rules.check_rules(bad, ["a"])
+    assert rules.mapping_conflicts({"-9": ""}, {"-9": "x", "y": "z"}) == ["-9"] and rules.mapping_conflicts({"-9": "u"}, {"u": "v"}) == ["u"] and rules.mapping_conflicts({"-9": ""}, {"x": "y"}) == []
+    assert rules.describe({"type": "range", "column": "a", "min": 0}) == "a is ≥ 0" and rules.describe({"type": "range", "column": "a", "min": 0, "max": 2}) == "a is between 0 and 2"
+    assert rules.describe({"type": "conditional", "when": {"column": "a", "op": "=", "value": "x"}, "then": {"column": "b", "op": "is blank"}}) == "if a = x then b is blank"
+
+
+def test_safety_sees_a_wrong_log(spark):
+    f = AuditFrame(spark.createDataFrame([(0, " x "), (1, "y")], "_rid long, label string"))
+    rows, log = cleaning.clean(f, {}, {"whitespace": ["label"]})
+    passed = lambda other: {r.check: r.passed for r in cleaning.safety_report(f, rows, other).collect()}["every_change_logged"]
+    assert passed(log) and not passed(log.withColumn("new_value", F.lit("z"))) and not passed(log.limit(0))
+
+
+def test_suggested_keys_and_fills(spark):
+    from auditframe.operators.insights import is_fill_candidate
+    from auditframe.plans.profile import suggest_primary_key
+
+    rows = [(i, f"h{i // 3}", str(i % 3), "z", "" if i % 2 else "a", f"note {i}") for i in range(12)]
+    f = AuditFrame(spark.createDataFrame(rows, "_rid long, household_id string, person_number string, zip string, mood string, note string"))
+    assert suggest_primary_key(f) == ["household_id", "person_number"] and is_fill_candidate(f, "mood") and not is_fill_candidate(f, "note")
+    assert suggest_primary_key(AuditFrame(f.wide.withColumn("record_id", F.col("note")))) == ["record_id"]
+    assert suggest_primary_key(AuditFrame(f.wide.select("_rid", "zip", "mood"))) == ["mood"]
