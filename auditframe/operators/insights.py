@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
@@ -177,8 +177,26 @@ def looks_like_codes(f: AuditFrame, column: str) -> bool:
     return bool(whole) and (s.distinct <= 12 and s.distinct < n or s.distinct <= 20 and n / s.distinct >= 10)
 
 
+def monotone(f: AuditFrame, columns: list[str], span: int = 1 << 20) -> set[str]:
+    """Columns whose numbers only rise, or only fall, in row order. Rows are compared within ranges of ``span`` row numbers, and then range with range."""
+    if not columns:
+        return set()
+    numbers = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), f.number(c).alias("x")) for c in columns))).alias("s")
+    rows = f.wide.select(F.col(f.rid).alias("rid"), numbers).select("rid", F.expr(f"rid div {span}").alias("span"), "s.*").where("x is not null")
+    rows = rows.withColumn("last", F.lag("x").over(Window.partitionBy("column", "span").orderBy("rid")))
+    along = lambda x: (F.bool_and(F.coalesce(x >= F.col("last"), F.lit(True))), F.bool_and(F.coalesce(x <= F.col("last"), F.lit(True))))
+    up, down = along(F.col("x"))
+    ranges = rows.groupBy("column", "span").agg(F.min_by("x", "rid").alias("start"), F.max_by("x", "rid").alias("end"), up.alias("up"), down.alias("down"))
+    ranges = ranges.withColumn("last", F.lag("end").over(Window.partitionBy("column").orderBy("span")))
+    up, down = along(F.col("start"))
+    return {r.column for r in ranges.groupBy("column").agg((F.bool_and("up") & up | F.bool_and("down") & down).alias("one_way")).where("one_way").collect()}
+
+
 def blank_only_where(f: AuditFrame, column: str, numeric: list[str]) -> DataFrame:
-    """``(by, low, high)``: numeric columns whose values on rows where ``column`` is blank lie apart from all others, five rows on each side."""
+    """``(by, low, high)``: numeric columns whose values on rows where ``column`` is blank lie apart from all others, five rows on each side.
+
+    A column that counts rows, nearly all distinct and rising or falling down the table, says nothing but where blanks begin.
+    """
     gone = f.value(column) == ""
     aggs = []
     for i, c in enumerate(numeric):
@@ -191,6 +209,8 @@ def blank_only_where(f: AuditFrame, column: str, numeric: list[str]) -> DataFram
     for i, c in enumerate(numeric):
         if c != column and got[f"nb{i}"] >= 5 and got[f"nf{i}"] >= 5 and (got[f"hib{i}"] < got[f"lof{i}"] or got[f"lob{i}"] > got[f"hif{i}"]):
             out.append((c, got[f"lob{i}"], got[f"hib{i}"]))
+    counts_rows = monotone(f, [c for c, *_ in out if f.stats[c].distinct >= 0.9 * f.stats[c].numeric])
+    out = [x for x in out if x[0] not in counts_rows]
     return f.spark.createDataFrame(out, "by string, low double, high double")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import html
 import json
@@ -33,6 +34,23 @@ def write_csv(rows: DataFrame, path: str, *, rid: str = "_rid") -> None:
     rows.repartitionByRange(rid).sortWithinPartitions(rid).drop(rid).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
 
 
+def column_union(frames: list[DataFrame]) -> list[str]:
+    """Columns of all tables, each where it is first seen."""
+    return list(dict.fromkeys(c for f in frames for c in f.columns))
+
+
+def stacked(frames: list[DataFrame]) -> DataFrame:
+    """Rows of all tables under the union of their columns; what a table lacks is null."""
+    return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames).select(*(f"`{c}`" for c in column_union(frames)))
+
+
+def format_bytes(n: int) -> str:
+    """``512 bytes``, ``1.5 KB``, ``2048.0 MB``: megabytes are the largest unit."""
+    if n < 1 << 10:
+        return f"{n} bytes"
+    return f"{n / (1 << 10):.1f} KB" if n < 1 << 20 else f"{n / (1 << 20):.1f} MB"
+
+
 def write_parquet(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").parquet(path)
 

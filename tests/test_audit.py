@@ -283,11 +283,14 @@ def test_merge_keeps_children(spark):
 def test_planted_errors_are_found(spark):
     from auditframe.plans import injection
 
-    got = injection.run(spark, 1000, 0)
-    clean, spoilt = got.pop("score")
-    assert clean == 100 and spoilt < clean
-    for key, (planted, caught, false) in got.items():
-        assert planted == caught and false == 0, key
+    got, (clean, spoilt, repaired) = injection.run(spark, 1000, 0)
+    assert clean == 100 and spoilt < clean and repaired >= spoilt
+    assert {"inconsistent_categories", "mixed_units", "group_missingness"} <= {r["check"] for r in got}
+    for r in got:
+        assert r["planted"] == r["caught"] and r["clean"] == 0, r
+    for r in got:
+        if r["check"] in ("whitespace", "invisible_characters", "encoding_corruption", "numeric_representation", "missing_value_codes", "duplicate_rows"):
+            assert r["left"] == 0, r
 
 
 def test_insights(spark, sf_dir):
@@ -397,3 +400,45 @@ def test_suggested_keys_and_fills(spark):
     assert suggest_primary_key(f) == ["household_id", "person_number"] and is_fill_candidate(f, "mood") and not is_fill_candidate(f, "note")
     assert suggest_primary_key(AuditFrame(f.wide.withColumn("record_id", F.col("note")))) == ["record_id"]
     assert suggest_primary_key(AuditFrame(f.wide.select("_rid", "zip", "mood"))) == ["mood"]
+
+
+def test_harmonize_writes_all_or_nothing(spark, tmp_path, capsys):
+    from auditframe import cli
+
+    (tmp_path / "a.csv").write_text("id,sex\n1, F\n2,M\n3,F\n")
+    (tmp_path / "b.csv").write_text("pid,gender\n1,f\n2,m\n3,f\n")
+    (tmp_path / "a.yaml").write_text("version: 1\nprimary_key: [id]\nsafe_fixes: {whitespace: [sex]}\n")
+    files, out, cross = [str(tmp_path / x) for x in ("a.csv", "b.csv")], tmp_path / "out", tmp_path / "cross.yaml"
+    said = {"a.csv": {"rules": str(tmp_path / "a.yaml")}, "b.csv": {"column_map": {"pid": "id", "gender": "sex"}, "value_map": {"gender": {"f": "F", "m": "M"}}}}
+
+    def call(said, *more):
+        cross.write_text(json.dumps(said))
+        return cli.main(["harmonize", *files, "--crosswalk", str(cross), "--out", str(out), *more])
+
+    assert call(said) == 0 and not out.exists()
+    assert call(said | {"b.csv": {"column_map": {"nowhere": "id"}}}, "--execute") == 2 and not out.exists()
+    assert call(said | {"b.csv": {"column_map": {"pid": "gender"}}}, "--execute") == 2 and not out.exists()
+    assert call({"a.csv": {}}, "--execute") == 2 and not out.exists()
+    assert call(said, "--execute") == 0
+    for name in ("a.csv", "b.csv"):
+        assert sorted(tuple(r) for r in spark.read.option("header", True).csv(str(out / name / "rows")).collect()) == [("1", "F"), ("2", "M"), ("3", "F")]
+    assert json.loads((out / "a.csv" / "manifest.json").read_text())["mutations"] == 1
+
+
+def test_columns_that_count_rows(spark):
+    """The counter only rises and says nothing; the sorted ages repeat and do; the span doesn't matter."""
+    from auditframe.operators import insights as I
+
+    rows = [(i, "" if i >= 40 else "x", str(i * 2), str(20 + i // 4), str((i * 37) % 101), str(-i)) for i in range(50)]
+    f = AuditFrame(spark.createDataFrame(rows, "_rid long, filled string, counter string, age string, mixed string, falls string"))
+    for span in (1 << 20, 7, 1):
+        assert I.monotone(f, ["counter", "age", "mixed", "falls"], span) == {"counter", "age", "falls"}
+    assert [r.by for r in I.blank_only_where(f, "filled", ["counter", "age", "falls"]).collect()] == ["age"]
+
+
+def test_unions_and_sizes(spark):
+    a, b = spark.createDataFrame([(1, "x")], "id int, v string"), spark.createDataFrame([("y", 2)], "w string, id int")
+    got = writers.stacked([a, b])
+    assert got.columns == writers.column_union([a, b]) == ["id", "v", "w"]
+    assert sorted(tuple(r) for r in got.collect()) == [(1, "x", None), (2, None, "y")]
+    assert [writers.format_bytes(n) for n in (0, 1023, 1024, 1536, 1 << 20, 1 << 31)] == ["0 bytes", "1023 bytes", "1.0 KB", "1.5 KB", "1.0 MB", "2048.0 MB"]
