@@ -442,3 +442,14 @@ def test_unions_and_sizes(spark):
     assert got.columns == writers.column_union([a, b]) == ["id", "v", "w"]
     assert sorted(tuple(r) for r in got.collect()) == [(1, "x", None), (2, None, "y")]
     assert [writers.format_bytes(n) for n in (0, 1023, 1024, 1536, 1 << 20, 1 << 31)] == ["0 bytes", "1023 bytes", "1.0 KB", "1.5 KB", "1.0 MB", "2048.0 MB"]
+
+
+def test_digits_inside_a_text_are_no_placeholder(spark, tmp_path):
+    texts = ["note a entry 11111", "note b entry 22", "aaaaaaa", "so yeeeees", "-----", "77777", "٣٣٣٣٣", "call 5555555555", "a note"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "_rid long, remark string")
+    found = CHECKS["placeholder_text"].run(AuditFrame(rows)).collect()
+    assert sorted(r.row for r in found) == [2, 3, 4, 5, 6]
+    name = "df50_placeholder_text"  # keys as they are in larger tables
+    spark.range(11000, 11400).withColumnRenamed("id", "c_custkey").coalesce(1).write.parquet(f"{tmp_path}/made")
+    next((tmp_path / "made").glob("*.parquet")).rename(tmp_path / "customer.parquet")
+    assert_same(queries.QUERIES[name](spark, str(tmp_path)), queries.ORACLE_SQL[name], str(tmp_path))
