@@ -238,6 +238,20 @@ def test_encoder_equals_library():
         assert e.encode(x) == np.array(t.encode(x, add_special_tokens=False).ids, "<u2").tobytes(), repr(x)
 
 
+def test_latin_texts_split_as_all_do(monkeypatch):
+    path, t = tokenizer()
+    rng = random.Random(4)
+    alphabet = [chr(c) for c in [*range(128), *token_files.LATIN]] + list("ab'sT 1\n\t\x85\xa0éß²½") * 20
+    texts = ["".join(rng.choices(alphabet, k=rng.randint(1, 14))) for _ in range(20_000)]
+    for x in texts:
+        assert token_files.LATIN_SPLIT.findall(x) == token_files.SPLIT.findall(x), repr(x)
+    assert all(token_files.BEYOND_LATIN.search(f"é{x}") for x in "\u0250\u0301\u1680\u2000\u2028\u202f\u205f\u3000中😀") and not token_files.BEYOND_LATIN.search("Größe – “à” €")
+    monkeypatch.setattr(token_files, "SPLIT", None)  # Latin texts don't need it
+    e = token_files.Encoder(path)
+    for x in [*texts[:2000], "Größe – “à” €"]:
+        assert e.encode(x) == np.array(t.encode(x, add_special_tokens=False).ids, "<u2").tobytes(), repr(x)
+
+
 def test_token_files_round_trip(spark):
     path, t = tokenizer()
     rng = random.Random(5)
