@@ -11,7 +11,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SPACE = r"[\s\x1c-\x1f]"
+#: What ``[\s\x1c-\x1f]`` is in Unicode.
+SPACE = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 NUMBER = r"^[+-]?(\d+(_\d+)*(\.(\d+(_\d+)*)?)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?$"
 ISO = r"^\d{4}-\d{2}-\d{2}$"
 SLASHED = r"^(\d{1,2})[/-](\d{1,2})[/-](\d{4})$"
@@ -32,14 +33,14 @@ CP1252_BYTES = "".join(chr(b) for b in range(0x80, 0xA0) if b not in (0x81, 0x8D
 
 def strip(c: Column) -> Column:
     """Without white space at the ends; ``trim`` takes blanks alone."""
-    return F.regexp_replace(c, rf"(?U)\A{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(c, F.lit(SPACE))
 
 
 def number(c: Column) -> Column:
     """The finite number a cell says, or null."""
     v = strip(c)
-    parsed = F.when(v.rlike(NUMBER), F.regexp_replace(v, "_", "")).try_cast("double")
-    return F.when((F.abs(parsed) < float("inf")) & ~F.isnan(parsed), parsed)
+    parsed = F.when(v.rlike(NUMBER), F.replace(v, F.lit("_"), F.lit(""))).try_cast("double")
+    return F.when(F.abs(parsed) < float("inf"), parsed)
 
 
 def fold(c: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from ..functions import names as N
 from ..plans.frame import AuditFrame
+from ..plans.shared import saved
 from .ordered import at_place, quantiles, running
 from .registry import check
 
@@ -62,8 +63,13 @@ def missingness_concentration(f: AuditFrame) -> DataFrame:
     pairs = [(t, c) for t in targets for c in numeric if t != c]
     if not pairs:
         return f.listed([])
-    cells = F.array(*(F.struct(F.lit(t).alias("target"), F.lit(c).alias("column"), (f.value(t) == "").alias("gone"), f.number(c).alias("x")) for t, c in pairs))
-    values = f.wide.select(F.explode(cells).alias("s")).select("s.*").where("x is not null").groupBy("target", "column", "gone", "x").agg(F.count("*").alias("n"))
+    # a row a column and number first, with what is missing beside it; targets are told apart in what is left
+    cells = F.array(*(F.struct(F.lit(c).alias("column"), f.number(c).alias("x")) for c in numeric))
+    missing = F.concat(*(F.when(f.value(t) == "", "1").otherwise("0") for t in targets)).alias("missing")
+    values = f.wide.select(F.explode(F.filter(cells, lambda s: s.x.isNotNull())).alias("s"), missing).select("s.*", "missing")
+    values = saved(values.groupBy("column", "missing", "x").agg(F.count("*").alias("n")), "missing")
+    apart = F.explode(F.array(*(F.struct(F.lit(t).alias("target"), (F.substring("missing", i + 1, 1) == "1").alias("gone")) for i, t in enumerate(targets))))
+    values = values.select("column", "x", "n", apart.alias("s")).select("s.*", "column", "x", "n").where("target <> column").groupBy("target", "column", "gone", "x").agg(F.sum("n").alias("n"))
     got = {(r.target, r.column, r.gone): (r.q[0], r.total) for r in quantiles(values, ["target", "column", "gone"], [0.5]).collect()}
     out = []
     for t, c in pairs:
@@ -362,7 +368,7 @@ def total_mismatch(f: AuditFrame) -> DataFrame | None:
         off.append(F.abs(t - said) > F.greatest(F.lit(0.01), 0.001 * F.abs(t)))
     got = f.wide.agg(*(agg.alias(f"{k}{i}") for i, bad in enumerate(off) for k, agg in (("n", F.count(bad)), ("bad", F.count_if(bad))))).first()
     sums = [i for i in range(len(use)) if got[f"n{i}"] >= 10 and got[f"bad{i}"] <= 0.2 * got[f"n{i}"]]
-    return f.evidence([(use[i][0], off[i], F.lit(",".join(use[i][1]))) for i in sums])
+    return f.evidence([(use[i][0], off[i], F.lit(",".join(use[i][1]))) for i in sums], alone=False)
 
 
 @check("DF-32", "group_missingness", "pairs", "suggestion")
@@ -375,15 +381,17 @@ def group_missingness(f: AuditFrame) -> DataFrame | None:
         return None
     rows = sampled(f)
     numbers = F.array(*(F.struct(F.lit(c).alias("column"), f.number(c).alias("x")) for c in numeric)) if numeric else None
-    values = rows.select(F.explode(numbers).alias("s")).select("s.*").where("x is not null").groupBy("column", "x").agg(F.count("*").alias("n")) if numeric else None
+    values = None
+    if numeric:  # all rows are counted in vc
+        values = counted(f, numeric) if rows is f.wide else rows.select(F.explode(numbers).alias("s")).select("s.*").where("x is not null").groupBy("column", "x").agg(F.count("*").alias("n"))
     cuts = {r.column: r.q[0] for r in quantiles(values, ["column"], [0.5]).collect()} if numeric else {}
     groups = {c: F.when(f.value(c) != "", f.value(c)) for c in levels}
     groups |= {c: F.when(f.number(c) < cuts[c], "below").when(f.number(c) >= cuts[c], "from") for c in numeric if c in cuts}
     flags = [F.sum(F.col("gone")[i]).alias(f"t{i}") for i in range(len(targets))]
     gone = F.array(*((f.value(t) == "").cast("int") for t in targets)).alias("gone")
     rows = rows.select(gone, *(g.alias(f"g{i}") for i, g in enumerate(groups.values())))
-    sets = rows.select(F.explode(F.array(*(F.struct(F.lit(c).alias("by"), F.col(f"g{i}").alias("level")) for i, c in enumerate(groups)))).alias("g"), "gone")
-    got = sets.where("g.level is not null").groupBy("g.by", "g.level").agg(F.count("*").alias("n"), *flags).collect()
+    sets = F.array(*(F.struct(F.lit(c).alias("by"), F.col(f"g{i}").alias("level")) for i, c in enumerate(groups)))
+    got = rows.select(F.explode(F.filter(sets, lambda g: g.level.isNotNull())).alias("g"), "gone").groupBy("g.by", "g.level").agg(F.count("*").alias("n"), *flags).collect()
     out = []
     for i, t in enumerate(targets):
         for c in groups:

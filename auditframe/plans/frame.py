@@ -10,6 +10,7 @@ from __future__ import annotations
 import datetime
 from dataclasses import dataclass
 from functools import cached_property
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
@@ -72,6 +73,8 @@ class AuditFrame:
         self.spark = df.sparkSession
         self.as_of = as_of or datetime.datetime.now(datetime.UTC).date().isoformat()
         self.primary_key, self.codes, self.bounds = list(primary_key), codes or {}, bounds
+        #: What evidence was asked for: ``(column, condition)``, and whether each condition reads its column alone.
+        self.conditions: WeakKeyDictionary[DataFrame, tuple[list[tuple[str, Column]], bool]] = WeakKeyDictionary()
 
     @cached_property
     def vc(self) -> DataFrame:
@@ -174,16 +177,40 @@ class AuditFrame:
         x = X.number(self.cell(column))
         return F.when(~self.value(column).isin(codes), x) if codes else x
 
-    def evidence(self, found: list[tuple[str, Column, Column | None]]) -> DataFrame:
-        """Cells as evidence: for each ``(column, condition, detail)`` the rows where it holds, in one pass."""
+    def evidence(self, found: list[tuple[str, Column, Column | None]], *, shown: bool = True, alone: bool = True) -> DataFrame:
+        """Cells as evidence: for each ``(column, condition, detail)`` the rows where it holds, in one pass.
+
+        The cell itself is told only if it is ``shown``; conditions that read further columns than their own aren't ``alone``.
+        """
         cells = [
-            F.when(cond, F.struct(F.lit(c).alias("column"), self.cell(c).alias("value"), (F.lit(None) if detail is None else detail).cast("string").alias("detail")))
+            F.when(cond, F.struct(F.lit(c).alias("column"), (self.cell(c) if shown else F.lit(None).cast("string")).alias("value"), (F.lit(None) if detail is None else detail).cast("string").alias("detail")))
             for c, cond, detail in found
         ]
         if not cells:
             return self.spark.createDataFrame([], EVIDENCE)
         rows = self.wide.select(self.rid, F.explode(F.filter(F.array(*cells), lambda s: s.isNotNull())).alias("s"))
-        return rows.select("s.column", F.col(self.rid).alias("row"), "s.value", "s.detail")
+        out = rows.select("s.column", F.col(self.rid).alias("row"), "s.value", "s.detail")
+        self.conditions[out] = [(c, cond) for c, cond, _ in found], alone
+        return out
+
+    def counts(self, found: dict[str, DataFrame | None]) -> dict[str, int | None]:
+        """How many rows each evidence has, None where there is none.
+
+        Conditions on one column are tried once a distinct cell, all in one pass over ``vc``; those on more columns in one over the rows.
+        """
+        out = dict.fromkeys(found)
+        for one in (True, False):
+            flat = [(k, c, cond) for k, e in found.items() if e is not None and e in self.conditions and self.conditions[e][1] == one for c, cond in self.conditions[e][0]]
+            own = sorted({c for _, c, _ in flat})
+            if one:
+                rows = self.vc.select(F.col("n").alias("__n"), *(F.when(F.col("column") == c, F.col("raw")).alias(c) for c in own))
+                aggs = [F.sum(F.when(self.cell(c).isNotNull(), F.when(cond, F.col("__n")))) for _, c, cond in flat]
+            else:
+                rows, aggs = self.wide, [F.count_if(cond) for _, _, cond in flat]
+            got = rows.agg(*(a.alias(str(i)) for i, a in enumerate(aggs))).first() if flat else ()
+            for (k, _, _), n in zip(flat, got, strict=True):
+                out[k] = (out[k] or 0) + (n or 0)
+        return {k: n if e is None or n is not None else e.count() for (k, n), e in zip(out.items(), found.values(), strict=True)}
 
     def listed(self, rows: list[tuple]) -> DataFrame:
         """Findings about columns, as evidence without a row."""

@@ -81,7 +81,9 @@ def made(spark: SparkSession, sf_dir: str, name: str, sql: str) -> DataFrame:
     """The table that ``sql`` makes of ``customer``, written once a session: queries read it as they would any input."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _MADE:
-        customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
+        customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")
+        parts = max(spark.sparkContext.defaultParallelism, customer.rdd.getNumPartitions())
+        customer = customer.repartition(parts, "c_custkey")  # a small file of keys is one task, and so would be the wide rows made of them
         _MADE[key] = saved(spark.sql(sql, customer=customer).withColumnRenamed("rid", "_rid"), name)
     return _MADE[key]
 

@@ -134,9 +134,7 @@ def catalogue(f: AuditFrame) -> DataFrame:
     """``(id, key, unit, severity, status, found)`` of all checks: one that can't apply is Not applicable, never Passed."""
     from ..operators import CHECKS
 
-    rows = []
-    for c in sorted(CHECKS.values(), key=lambda c: c.id):
-        got = c.run(f)
-        n = None if got is None else got.count()
-        rows.append((c.id, c.key, c.unit, c.severity, "Not applicable" if n is None else "Passed" if not n else "Found", n))
+    counts = f.counts({key: c.run(f) for key, c in CHECKS.items()})
+    status = lambda n: "Not applicable" if n is None else "Passed" if not n else "Found"
+    rows = [(c.id, c.key, c.unit, c.severity, status(counts[c.key]), counts[c.key]) for c in sorted(CHECKS.values(), key=lambda c: c.id)]
     return f.spark.createDataFrame(rows, "id string, key string, unit string, severity string, status string, found long")

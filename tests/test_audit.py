@@ -3,6 +3,7 @@
 import json
 import math
 import random
+import re
 
 import duckdb
 import numpy as np
@@ -453,3 +454,24 @@ def test_digits_inside_a_text_are_no_placeholder(spark, tmp_path):
     spark.range(11000, 11400).withColumnRenamed("id", "c_custkey").coalesce(1).write.parquet(f"{tmp_path}/made")
     next((tmp_path / "made").glob("*.parquet")).rename(tmp_path / "customer.parquet")
     assert_same(queries.QUERIES[name](spark, str(tmp_path)), queries.ORACLE_SQL[name], str(tmp_path))
+
+
+def test_catalogue_counts_cells_in_two_passes(spark, sf_dir):
+    f = intake(spark, sf_dir)
+    odd = spark.createDataFrame([(i, v, w) for i, (v, w) in enumerate([(" -5 ", "a"), ("", "b"), ("nan", " c"), ("1e309", ""), ("\u2003", "\u2003x"), ("130", "11111"), (None, None), ("a,  b", "JosÃ©")] * 3)], "_rid long, age string, note string")
+    for frame in (f, AuditFrame(odd, as_of="2026-01-01")):
+        found = {k: c.run(frame) for k, c in CHECKS.items()}
+        cells = {k: e for k, e in found.items() if e is not None and e in frame.conditions}
+        spark.sparkContext.setJobGroup("counts", "counts")
+        got = frame.counts(cells)
+        spark.sparkContext.setJobGroup("other", "other")
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("counts")) < len(cells)  # a job a check or more before
+        assert got == {k: e.count() for k, e in cells.items()}
+        assert frame.counts({"none": None, "listed": frame.listed([("a", None, None)])}) == {"none": None, "listed": 1}
+    assert len(cells) >= 5 and any(got.values())
+
+
+def test_white_space_is_that_of_unicode(spark):
+    chars = [chr(i) for i in range(0x3100)]
+    blank = [c for c in chars if re.fullmatch(r"\s", c)]  # Python's has \x1c to \x1f too
+    assert one(spark, X.strip, [f"{c}a{c} b{c}{c}" for c in chars]) == [f"a{c} b" if c in blank else f"{c}a{c} b{c}{c}" for c in chars]
